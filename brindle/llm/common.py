@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from brindle.session import ship
+
 #: The separators between words, as a regular-expression class and as bytes (also what ``bytes.split()`` splits on).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -58,7 +60,13 @@ def map_rows(df: DataFrame, schema: str | StructType, rows: Callable[[Iterator[t
         if held:
             yield _batch(held, arrow)
 
-    return df.mapInArrow(run, out)
+    return map_batches(df, run, out)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` after this package was given to the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

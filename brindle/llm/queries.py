@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brindle.llm.multiset_hash import neighbour_fingerprints
+from brindle.llm.pii import BASE_KINDS, find_pii
 from brindle.llm.quality import quality_bands
 
 
@@ -16,5 +19,23 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_compression_bands": op1_compression_bands}
+def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and how alike those and the next document's are."""
+    return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digests derived from the operator's spans."""
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.filter("spans", lambda s: s.kind == k)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        *(F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        F.sha2(joined(F.filter("spans", lambda s: s.base)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op7_multiset_hash, op9_pii_spans)}
 ORACLES: dict[str, str] = {}

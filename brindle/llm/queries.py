@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.mixing import mix_sources
 from brindle.llm.multiset_hash import neighbour_fingerprints
 from brindle.llm.pii import BASE_KINDS, find_pii
 from brindle.llm.quality import quality_bands
@@ -19,6 +20,41 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: targets of the sources, words taken from each document."""
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         coalesce(length(translate(text, '#*$%&|<>', '')) / nullif(CAST(length(text) AS DOUBLE), 0), 1.0) AS plain
+  FROM documents),
+k AS (
+  SELECT *, -ln((CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)
+            / greatest(CAST(0.05 AS DOUBLE), plain * plain) AS key
+  FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS weight, 3 * source_size AS cap,
+             row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+l AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio,
+             (CAST(sum(source_size) OVER () AS DOUBLE)
+              - CAST(coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+             / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level
+      FROM r),
+f AS (SELECT level AS final FROM l WHERE cap >= level * weight ORDER BY ratio, rank LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), (SELECT final FROM f) * weight), CAST(cap AS DOUBLE)) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+q AS (
+  SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
+         CAST(coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS before
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       CAST((epochs + CASE WHEN before + size / CAST(2 AS DOUBLE) <= rest AND size > 0 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM q
+"""
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and how alike those and the next document's are."""
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
@@ -37,5 +73,5 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op7_multiset_hash, op9_pii_spans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op7_multiset_hash, op9_pii_spans)}
+ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.common import stash
 from brindle.llm.mixing import mix_sources
 from brindle.llm.multiset_hash import neighbour_fingerprints
 from brindle.llm.pii import BASE_KINDS, find_pii
 from brindle.llm.quality import quality_bands
+from brindle.llm.warc import archive_folder, assemble, read_records, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,21 @@ FROM q
 """
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back, and assembled to one row for each capture."""
+    path = archive_folder(spark)
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    captures = assemble(stash(read_records(spark, path, with_payload=False)))
+    fields = F.col("metadata.fields")
+    return captures.select(
+        fields["page-id"].cast("long").alias("page_id"),
+        fields["payload-bytes"].cast("long").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        fields["original-page-id"].cast("long").alias("refers_to"),
+    )
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and how alike those and the next document's are."""
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
@@ -73,5 +90,5 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op7_multiset_hash, op9_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op7_multiset_hash, op9_pii_spans)}
 ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL}

@@ -1,0 +1,44 @@
+"""Connected components of an edge table, by alternating large and small stars.
+
+Each round rewires every node to smaller neighbours; the edges end as stars round each component's smallest node. A round
+is a few joins and aggregations by node, its result is written to the shared folder, and nothing but a count and a checksum
+of the edges comes to the driver. Minima are combined before they are shuffled, so a node with very many edges costs its
+task one row for each task before it; the join that follows is one that Spark can split.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brindle.llm.common import stash
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+    """(node, component) for every node that has an edge to another; the component is its smallest node.
+
+    Edges with a null end and loops are left out; edges may repeat, in either direction.
+    """
+    now = stash(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    mark = _mark(now)
+    for _ in range(max_rounds):
+        if not mark[0]:
+            break
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # large star: neighbours above a node move to the smallest in its neighbourhood
+        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("m").alias("u"), "v").distinct()
+        # small star: a node and its smaller neighbours move to the smallest of those
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), "v"))).alias("e")).select("e.*")
+        now = stash(small.where("u != v").distinct())
+        before, mark = mark, _mark(now)
+        if mark == before:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

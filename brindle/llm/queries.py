@@ -10,6 +10,7 @@ from brindle.llm.mixing import mix_sources
 from brindle.llm.multiset_hash import neighbour_fingerprints
 from brindle.llm.pii import BASE_KINDS, find_pii
 from brindle.llm.quality import quality_bands
+from brindle.llm.simhash import simhash_components
 from brindle.llm.warc import archive_folder, assemble, read_records, write_warc
 
 
@@ -72,6 +73,11 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document, and the component of its near copies."""
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and how alike those and the next document's are."""
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
@@ -90,5 +96,5 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op7_multiset_hash, op9_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op5_simhash_anchors, op7_multiset_hash, op9_pii_spans)}
 ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import stash
 from brindle.llm.mixing import mix_sources
 from brindle.llm.multiset_hash import neighbour_fingerprints
+from brindle.llm.packing import pack_documents
 from brindle.llm.pii import BASE_KINDS, find_pii
 from brindle.llm.quality import quality_bands
 from brindle.llm.simhash import simhash_components
@@ -78,6 +79,11 @@ def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces, packed into sequences of 4096."""
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and how alike those and the next document's are."""
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
@@ -96,5 +102,5 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op5_simhash_anchors, op7_multiset_hash, op9_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op5_simhash_anchors, op6_genetic_packing, op7_multiset_hash, op9_pii_spans)}
 ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL}

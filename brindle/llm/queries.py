@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import stash
+from brindle.llm.lines import dedup_lines
 from brindle.llm.mixing import mix_sources
 from brindle.llm.multiset_hash import neighbour_fingerprints
 from brindle.llm.packing import pack_documents
@@ -89,6 +90,11 @@ def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one, alike or nearly."""
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digests derived from the operator's spans."""
     found = find_pii(_table(spark, sf_dir, "documents"))
@@ -102,5 +108,5 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op5_simhash_anchors, op6_genetic_packing, op7_multiset_hash, op9_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op5_simhash_anchors, op6_genetic_packing, op7_multiset_hash, op8_fuzzy_lines, op9_pii_spans)}
 ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import stash
 from brindle.llm.lines import dedup_lines
+from brindle.llm.lmscore import cross_entropy_difference, flag_target
 from brindle.llm.mixing import mix_sources
 from brindle.llm.multiset_hash import neighbour_fingerprints
 from brindle.llm.packing import pack_documents
@@ -75,6 +76,13 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; the target are the documents labelled as of good quality, the background all others."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    docs = flag_target(_table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    return cross_entropy_difference(docs, "_target")
+
+
 def op5_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of every document, and the component of its near copies."""
     return simhash_components(_table(spark, sf_dir, "documents"))
@@ -108,5 +116,5 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op5_simhash_anchors, op6_genetic_packing, op7_multiset_hash, op8_fuzzy_lines, op9_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op4_cross_entropy_difference, op5_simhash_anchors, op6_genetic_packing, op7_multiset_hash, op8_fuzzy_lines, op9_pii_spans)}
 ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL}

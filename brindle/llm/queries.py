@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import stash
+from brindle.llm.licenses import MARKS, scan_licenses, template_weights
 from brindle.llm.lines import dedup_lines
 from brindle.llm.lmscore import cross_entropy_difference, flag_target
 from brindle.llm.mixing import mix_sources
@@ -116,5 +117,46 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op4_cross_entropy_difference, op5_simhash_anchors, op6_genetic_packing, op7_multiset_hash, op8_fuzzy_lines, op9_pii_spans)}
-ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, own or inherited. Documents have no paths, so they get some: /source/lang/file for every
+    tenth, /source/lang/sixteenth/file for the others."""
+    docs = _table(spark, sf_dir, "documents")
+    leaf = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("/d"), (F.col("doc_id") % 16).cast("string")))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), leaf, F.lit("/"), F.col("doc_id").cast("string"))
+    return scan_licenses(docs.select("doc_id", "text", path.alias("path")), keys=("doc_id",))
+
+
+def _license_sql() -> str:
+    rows, idf, unknown = template_weights()
+    weights = ", ".join(f"({i}, '{n}', '{t}', CAST({w!r} AS DOUBLE))" for i, n, t, w in rows)
+    known = ", ".join(f"('{t}', CAST({w!r} AS DOUBLE))" for t, w in idf.items())
+    marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{m}')" for m in MARKS) + ")"
+    return f"""
+WITH w(template, license, term, weight) AS (VALUES {weights}), i(term, idf) AS (VALUES {known}),
+t AS (SELECT doc_id, text, '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none')
+             || CASE WHEN doc_id % 10 = 0 THEN '' ELSE '/d' || CAST(doc_id % 16 AS VARCHAR) END || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents),
+m AS (SELECT DISTINCT path, text FROM t WHERE {marked("text")}),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS s FROM m),
+u AS (SELECT DISTINCT path, s, false AS whole FROM l WHERE {marked("s")} UNION ALL SELECT path, text, true FROM m),
+d AS (SELECT DISTINCT s FROM u),
+e AS (SELECT s, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM d),
+n AS (SELECT s, e.term, count(*) * coalesce(any_value(idf), CAST({unknown!r} AS DOUBLE)) AS w FROM e LEFT JOIN i ON e.term = i.term GROUP BY s, e.term),
+norms AS (SELECT s, sqrt(sum(w * w)) AS norm FROM n GROUP BY s),
+dots AS (SELECT s, template, license, sum(n.w * weight) AS dot FROM n JOIN w ON n.term = w.term GROUP BY s, template, license),
+c AS (SELECT dots.s, license, round(dot / norm, 9) AS score FROM dots JOIN norms ON dots.s = norms.s),
+b AS (SELECT s, license, score FROM c QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, license) = 1),
+k AS (SELECT path, whole, license, score FROM u JOIN b ON u.s = b.s WHERE score >= CASE WHEN whole THEN 0.5 ELSE 0.6 END),
+o AS (SELECT path, license, score FROM k WHERE NOT whole QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+f AS (SELECT path, license, score, regexp_replace(path, '/[^/]*$', '') AS dir FROM k WHERE whole),
+g AS (SELECT dir, license FROM f QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
+x AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM t WHERE path IS NOT NULL),
+y AS (SELECT x.dir, g.dir AS source_dir, g.license FROM x JOIN g ON x.dir = g.dir OR starts_with(x.dir, g.dir || '/')
+      QUALIFY row_number() OVER (PARTITION BY x.dir ORDER BY length(g.dir) DESC) = 1)
+SELECT t.doc_id, t.path, o.license AS own_license, o.score AS own_score, f.path IS NOT NULL AS licence_file,
+       coalesce(o.license, y.license) AS license, CASE WHEN o.license IS NULL THEN y.source_dir END AS inherited_from
+FROM t LEFT JOIN o ON t.path = o.path LEFT JOIN f ON t.path = f.path LEFT JOIN y ON regexp_replace(t.path, '/[^/]*$', '') = y.dir
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_source_mix, op3_warc_transactions, op4_cross_entropy_difference, op5_simhash_anchors, op6_genetic_packing, op7_multiset_hash, op8_fuzzy_lines, op9_pii_spans, op10_license_scan)}
+ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL, "op10_license_scan": _license_sql()}

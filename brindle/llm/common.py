@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from brindle.session import ship
+from brindle.storage import map_batches, shared_dir, stash
+
+__all__ = ["SPACE_BYTES", "WORD_PATTERN", "map_batches", "map_rows", "shared_dir", "stash"]
 
 #: The separators between words, as a regular-expression class and as bytes (also what ``bytes.split()`` splits on).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="brindle-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, schema: str | StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]], chunk: int = 4096) -> DataFrame:
     """``mapInArrow`` over plain tuples: ``rows`` gets an iterator of row tuples and yields output tuples, written in chunks.
 
@@ -63,12 +46,6 @@ def map_rows(df: DataFrame, schema: str | StructType, rows: Callable[[Iterator[t
     return map_batches(df, run, out)
 
 
-def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` after this package was given to the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -24,6 +24,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import stash
+
 #: SPDX identifiers and the statements that name or grant these licenses.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -69,18 +71,18 @@ def _marked(text: Column) -> Column:
 
 
 def score_statements(statements: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(s) distinct statements -> (s, license, score): the best template of each that shares a term with one."""
+    """Distinct statements (sid, s) -> (sid, license, score): the best template of each that shares a term with one."""
     rows, idf, unknown = template_weights(templates)
     spark = statements.sparkSession
     values = lambda lines: ", ".join(lines)
     weights = spark.sql(f"SELECT * FROM VALUES {values(f"({i}, '{n}', '{t}', {w!r}D)" for i, n, t, w in rows)} AS t(template, license, term, weight)")
     known = spark.sql(f"SELECT * FROM VALUES {values(f"('{t}', {w!r}D)" for t, w in idf.items())} AS t(term, idf)")
-    terms = statements.select("s", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("s", "term").agg(F.count(F.lit(1)).alias("n"))
-    terms = terms.join(F.broadcast(known), "term", "left").select("s", "term", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("w"))
-    norms = terms.groupBy("s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(weights), "term").groupBy("s", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    best = dots.join(norms, "s").select("s", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    return best.groupBy("s").agg(F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("b")).select("s", "b.license", (-F.col("b.m")).alias("score"))
+    terms = statements.select("sid", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = terms.join(F.broadcast(known), "term", "left").select("sid", "term", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("w"))
+    norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    best = dots.join(norms, "sid").select("sid", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    return best.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("b")).select("sid", "b.license", (-F.col("b.m")).alias("score"))
 
 
 def parent(path: Column) -> Column:
@@ -93,11 +95,12 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     names = [F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]
     ids = [f"key{i}" for i in range(len(keys))]
     table = files.select(*names, F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    marked = table.where(_marked(F.col("text"))).select("path", "text").distinct()
-    lines = marked.select("path", "text", F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), _marked))).alias("s"))
-    units = lines.select("path", "s", F.lit(False).alias("whole")).unionByName(marked.select("path", F.col("text").alias("s"), F.lit(True).alias("whole")))
-    scores = score_statements(units.select("s").distinct(), templates)
-    scored = units.join(scores, "s").where(F.col("score") >= F.when(F.col("whole"), F.lit(file_threshold)).otherwise(F.lit(threshold)))
+    # the few texts with a mark are stored once; from here on a statement goes by the digest of its text
+    marked = stash(table.where(_marked(F.col("text"))).select("path", "text"))
+    lines = marked.select("path", F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), _marked))).alias("s"), F.lit(False).alias("whole"))
+    units = lines.unionByName(marked.select("path", F.col("text").alias("s"), F.lit(True).alias("whole"))).withColumn("sid", F.md5("s"))
+    scores = score_statements(units.select("sid", "s").dropDuplicates(["sid"]), templates)
+    scored = units.select("path", "sid", "whole").join(scores, "sid").where(F.col("score") >= F.when(F.col("whole"), F.lit(file_threshold)).otherwise(F.lit(threshold)))
     best = F.min(F.when(~F.col("whole"), F.struct((-F.col("score")).alias("m"), "license")))
     as_file = F.min(F.when(F.col("whole"), F.struct((-F.col("score")).alias("m"), "license")))
     own = scored.groupBy("path").agg(best.alias("b"), as_file.alias("f")).select("path", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("own_score"), F.col("f.license").alias("file_license"), (-F.col("f.m")).alias("file_score"))

@@ -24,6 +24,7 @@ from itertools import groupby
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import map_rows, stash
 
 START, END = np.uint64(0x5374617274000001), np.uint64(0x456E640000000003)
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -40,7 +42,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def events(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def events(texts: list[str | None], bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bigram keys, history keys, document positions) of all events of some texts. Bigram keys are even, history keys odd."""
     words = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
     sizes = np.array([len(w) for w in words])
@@ -54,8 +56,35 @@ def events(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     first[starts + sizes + 1] = False
     at = np.flatnonzero(first)
     before, after = full[at], full[at + 1]
-    one = np.uint64(1)
-    return _mix(before * _A + after) & ~one, _mix(before + _B) | one, np.repeat(np.arange(len(texts)), sizes + 1)
+    one, cut = np.uint64(1), np.uint64(64 - bits)
+    return _mix(before * _A + after) >> cut & ~one, _mix(before + _B) >> cut | one, np.repeat(np.arange(len(texts)), sizes + 1)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences, byte plane by byte plane (high planes are almost all zero)."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return _PACK.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_UNPACK.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as compressed byte planes."""
+    width = np.dtype(kind).itemsize
+    return _PACK.compress(counts.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unpack_counts(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(_UNPACK.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+
+def key_bits(n_tokens: int) -> int:
+    """Bits of a key, so that a key meets another one by chance with probability 2^-16 at most, at any size; 64 at most."""
+    return min(64, max(40, int(max(2, 2 * n_tokens) - 1).bit_length() + 16))
 
 
 def _blocks(read: Iterator[tuple], text_at: int, tokens: int) -> Iterator[list[tuple]]:
@@ -72,7 +101,7 @@ def _blocks(read: Iterator[tuple], text_at: int, tokens: int) -> Iterator[list[t
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    return ((keys >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
 
 
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -94,12 +123,12 @@ def _groups(read: Iterator[tuple]) -> Iterator[tuple[object, Iterable[tuple]]]:
     yield from groupby(read, key=lambda r: r[0])
 
 
-def count_model(docs: DataFrame, text_col: str, target_col: str, shards: int, block_tokens: int) -> DataFrame:
+def count_model(docs: DataFrame, text_col: str, target_col: str, shards: int, block_tokens: int, bits: int) -> DataFrame:
     """A stored row for each shard: its sorted keys, and their counts in both corpora."""
 
     def count(read):
         for block in _blocks(read, 0, block_tokens):
-            pairs, histories, at = events([t for t, _ in block])
+            pairs, histories, at = events([t for t, _ in block], bits)
             wanted = np.array([bool(f) for _, f in block])[at]
             keys = np.concatenate([pairs, histories])
             wanted = np.concatenate([wanted, wanted]).astype(np.int64)
@@ -107,7 +136,7 @@ def count_model(docs: DataFrame, text_col: str, target_col: str, shards: int, bl
             order = np.argsort(_by_shard(keys, shards), kind="stable")
             keys, target, both = keys[order], target[order], both[order]
             for shard, s, e in _cuts(_by_shard(keys, shards)):
-                yield shard, keys[s:e].tobytes(), target[s:e].astype("<u4").tobytes(), (both - target)[s:e].astype("<u4").tobytes()
+                yield shard, pack_keys(keys[s:e]), pack_counts(target[s:e]), pack_counts((both - target)[s:e])
 
     def merge(read):
         for shard, rows in _groups(read):
@@ -118,13 +147,13 @@ def count_model(docs: DataFrame, text_col: str, target_col: str, shards: int, bl
                 return list(_sum_by_key(*(np.concatenate([h, *(w[i] for w in waiting)]) for i, h in enumerate(held))))
 
             for _, k, t, b in rows:
-                waiting.append((np.frombuffer(k, np.uint64), np.frombuffer(t, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)))
+                waiting.append((unpack_keys(k), unpack_counts(t).astype(np.int64), unpack_counts(b).astype(np.int64)))
                 size += len(waiting[-1][0])
                 if size > len(held[0]) + 500_000:
                     held, waiting, size = fold(), [], 0
             keys, target, other = fold()
             even = (keys & np.uint64(1)) == 0
-            yield shard, keys.tobytes(), target.astype("<i8").tobytes(), other.astype("<i8").tobytes(), int((~even).sum()), int(target[even].sum()), int(other[even].sum())
+            yield shard, pack_keys(keys), pack_counts(target, "<i8"), pack_counts(other, "<i8"), int((~even).sum()), int(target[even].sum()), int(other[even].sum())
 
     sent = map_rows(docs.select(text_col, target_col), "shard int, keys binary, t binary, b binary", count, chunk=64)
     dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard")
@@ -143,14 +172,15 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     shards = max(4, -(-chars // shard_chars))
-    model = count_model(docs, text_col, target_col, shards, block_tokens)
+    bits = key_bits(chars)  # there are fewer words than characters
+    model = count_model(docs, text_col, target_col, shards, block_tokens, bits)
     vocabulary, n_target, n_other = (x or 0 for x in model.agg(F.sum("n_words"), F.sum("n_target"), F.sum("n_other")).first())
     n = max(1, n_target + n_other)
     a_target, a_other = (alpha * max(x, 1) / n for x in (n_target, n_other))
     floor = max(2, -(-n // hot))
 
     def values(keys: bytes, t: bytes, b: bytes):
-        k, t, b = np.frombuffer(keys, np.uint64), np.frombuffer(t, "<i8"), np.frombuffer(b, "<i8")
+        k, t, b = unpack_keys(keys), unpack_counts(t, "<i8"), unpack_counts(b, "<i8")
         return k, t + b, _terms(k, t, b, vocabulary, a_target, a_other)
 
     def frequent(read):
@@ -170,7 +200,7 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
         keys_known, terms_known = known.value
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for block in _blocks(read, 1, block_tokens):
-            pairs, histories, at = events([t for _, t in block])
+            pairs, histories, at = events([t for _, t in block], bits)
             keys, at = np.concatenate([pairs, histories]), np.concatenate([at, at])
             sizes = np.bincount(at[: len(pairs)], minlength=len(block))
             place = np.searchsorted(keys_known, keys)
@@ -184,24 +214,23 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
                 part = keys[s:e]
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 repeats = np.diff(np.concatenate([starts, [e - s]]))
-                yield shard, number, None, part[starts].tobytes(), repeats.astype("<u4").tobytes(), at[s:e].astype("<u2").tobytes()
+                yield shard, number, None, pack_keys(part[starts]), pack_counts(repeats), pack_counts(at[s:e], "<u2")
             number += 1
 
     def offer(read):
         for shard, keys, t, b in read:
-            k, _, d = values(keys, t, b)
-            yield shard, -1, None, k.tobytes(), d.astype("<f8").tobytes(), None
+            yield shard, -1, None, keys, t, b
 
     def answer(read):
         for shard, rows in _groups(read):
             keys, terms = np.zeros(0, np.uint64), np.zeros(0)
             for _, block, _, first, second, third in rows:
                 if block < 0:
-                    keys, terms = np.frombuffer(first, np.uint64), np.frombuffer(second, "<f8")
+                    keys, _, terms = values(first, second, third)
                     continue
-                asked = np.frombuffer(first, np.uint64)
-                found = np.repeat(terms[np.searchsorted(keys, asked)], np.frombuffer(second, "<u4"))
-                at = np.frombuffer(third, "<u2")
+                asked = unpack_keys(first)
+                found = np.repeat(terms[np.searchsorted(keys, asked)], unpack_counts(second))
+                at = unpack_counts(third, "<u2")
                 yield block, None, None, np.bincount(at, weights=found).astype("<f8").tobytes()
 
     def add_up(read):

@@ -1,0 +1,195 @@
+"""Quality, personal data, fingerprints and lines: operators against plain re-statements, and every odd kind of row."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from brindle.llm import lines as LN
+from brindle.llm import multiset_hash as MH
+from brindle.llm import pii
+from brindle.llm import quality as Q
+
+ODD = [None, "", " \n\t", "x", "a b c\n" * 50, "word " * 30000, "é ü ß  \x1c", "one\n\ntwo"]
+DOCS = "doc_id long, text string, n_words string, fingerprint string, spans int"
+
+
+def frame(spark, texts, ids=None):
+    """A table with nulls, ties and further columns whose names clash with results."""
+    rows = [(i, t, "clash", "clash", 7) for i, t in zip(ids or range(len(texts)), texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def measures(text):
+    text = text or ""
+    w = WORD.findall(text)
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    earlier, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in earlier
+            earlier.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(cover)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab \n\t#é\x0b\x1c", max_size=200))
+def test_measures(text):
+    m = Q.measure(text, Q.Bands(), zstandard.ZstdCompressor(level=3))
+    assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == measures(text)
+
+
+def test_quality_rows(spark):
+    good = " ".join(f"{hashlib.md5(str(i).encode()).hexdigest()[: 3 + i % 5]}" for i in range(300))
+    docs = frame(spark, [*ODD, good, good], [*range(len(ODD)), None, 8])
+    rows = Q.quality_bands(docs).collect()
+    assert len(rows) == len(ODD) + 2
+    for r, t in zip(sorted(rows, key=lambda r: -1 if r.doc_id is None else r.doc_id)[1:], [*ODD, good]):
+        n, chars, symbols, dup, rep = measures(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
+        assert r.base_failed == (n < 20 or 100 * rep > 30 * n) and not (r.kept and r.base_failed)
+    assert Q.filter_quality(docs).columns == docs.columns
+    assert Q.filter_quality(docs.where("false")).count() == 0
+
+
+def test_bands_reject_repetition_and_noise():
+    packer = zstandard.ZstdCompressor(level=3)
+    rng = np.random.default_rng(1)
+    noise = " ".join("".join(map(chr, rng.integers(33, 127, 40))) for _ in range(100))
+    assert Q.measure(noise, Q.Bands(), packer).verdict != "ok"
+    assert Q.measure("same words again and " * 200, Q.Bands(), packer).verdict == "repetitive"
+
+
+# --- personal data -----------------------------------------------------------------------------------------------------
+
+PLAIN = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    ok = {
+        "email": lambda s: True,
+        "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+        "card": lambda s: 16 <= len(digits(s)) <= 19 and pii.luhn(digits(s)),
+        "phone": lambda s: 8 <= len(digits(s)) <= 15,
+    }
+    return [(k, *m.span()) for k, p in PLAIN.items() for m in p.finditer(text) if ok[k](m[0])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a@.-1 +(4é\n", max_size=60))
+def test_base_spans_like_the_patterns(text):
+    assert list(pii.base_spans(text)) == plain_spans(text)
+
+
+def test_spans(spark):
+    texts = [
+        "mail me: a.b@c.de, server 10.0.0.1, card 4111 1111 1111 1111, call +1 (743) 555-3824",
+        "IBAN DE89 3704 0044 0532 0130 00 and DE89370400440532013001", "ssn 123-45-6789 is mine", "part 123-45-6789", "card 3782 822463 10005",
+        "999.1.1.1 4111111111111112 +1 23", "a" * 50_000, "1" * 50_000, *ODD,
+    ]
+    rows = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, texts)).collect()}
+    kinds = lambda i: [s.kind for s in rows[i]]
+    assert kinds(0) == ["email", "ip", "card", "phone"] and kinds(1) == ["iban"] and kinds(2) == ["ssn"] and kinds(3) == [] and kinds(4) == ["amex"] and kinds(5) == []
+    for i, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in rows[i] if s.base] == plain_spans(t or "")
+    assert pii.redact("to a@b.cd now") == "to [EMAIL] now" and pii.redact(None) is None
+
+
+def test_checksums():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+
+
+# --- multiset hash -------------------------------------------------------------------------------------------------------
+
+
+def test_homomorphic():
+    a, b, c = "first par\nsecond one", "third here", "second one\nthird here\nfirst par"
+    assert MH.fingerprint(a) + MH.fingerprint(b) == MH.fingerprint(c)
+    assert MH.fingerprint(c) - MH.fingerprint(b) == MH.fingerprint(a)
+    assert MH.fingerprint(a) != MH.fingerprint(a + "x") and MH.fingerprint(None) == MH.fingerprint("") != MH.fingerprint("\n")
+    f = MH.fingerprint(c)
+    assert MH.Fingerprint.from_hex(f.hex()) == f and f.likeness(f) == 1.0 and f.likeness(MH.Fingerprint()) == 0.0
+
+
+@pytest.mark.parametrize("per_range", [3, 1000])
+def test_neighbours(spark, per_range):
+    texts = [*ODD, *(f"line {i}\n" * (i + 1) for i in range(20))]
+    ids = [3 * i for i in range(len(texts))]
+    got = {r.doc_id: r for r in MH.neighbour_fingerprints(frame(spark, texts, ids).repartition(5), rows_per_range=per_range).collect()}
+    assert len(got) == len(texts)
+    for k, i in enumerate(ids):
+        text, after = texts[k] or "", texts[(k + 1) % len(texts)] or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert r.fingerprint == MH.fingerprint(text).hex() and r.edited_fingerprint == MH.fingerprint(new).hex()
+        assert r.near_next == MH.fingerprint(text).likeness(MH.fingerprint(after)) and 0 <= r.near_edited <= 1
+
+
+def test_neighbours_odd(spark):
+    assert MH.neighbour_fingerprints(frame(spark, [])).count() == 0
+    one = MH.neighbour_fingerprints(frame(spark, ["ab"])).first()
+    assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"aa").hexdigest()
+    assert MH.neighbour_fingerprints(frame(spark, ["a", "b", "b", "c"], [None, 1, 1, None]), rows_per_range=1).count() == 4
+    assert MH.multiset_fingerprints(frame(spark, ODD)).count() == len(ODD)
+
+
+def plain_words(n):
+    return ["".join("abcdefghij"[int(c)] for c in str(10_007 * (i + 1) % 99_991)) for i in range(n)]
+
+
+# --- lines -----------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
+def test_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    assert LN.levenshtein(a, b) == row[-1]
+
+
+def test_lines(spark):
+    some = plain_words(50)
+    base, near = " ".join(some), " ".join([*some[:20], "other", *some[21:]])
+    texts = [f"{base}\nown line one", f"Unrelated words stand here\n{near}", f"{base.upper()}!!\n\nown line two", None, "", "own line one\nown line one", "?!\n?!"]
+    docs = frame(spark, texts)
+    out = {r.doc_id: r for r in LN.dedup_lines(docs).collect()}
+    assert LN.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_removed"]
+    assert [out[i].text for i in range(7)] == [texts[0], "Unrelated words stand here", "\nown line two", None, "", "", "?!\n?!"]
+    assert [out[i].n_removed for i in range(7)] == [0, 1, 1, 0, 0, 2, 0]
+    assert LN.dedup_lines(docs.where("false")).count() == 0
+
+
+def test_lines_ties(spark):
+    docs = frame(spark, ["same line of some words", "same line of some words", "same line of some words"], [None, 4, 4])
+    assert sorted((r.doc_id is None, r.text) for r in LN.dedup_lines(docs).collect()) == [(False, "same line of some words")] * 2 + [(True, "")]
+
+
+def test_many_variants_are_one_group(spark):
+    """A dense group sends a forest, not all pairs, and still becomes one."""
+    words = plain_words(60)
+    texts = [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in range(60)]
+    rows = LN.dedup_lines(frame(spark, texts), per_line=2).collect()
+    assert sum(bool(r.text) for r in rows) <= 3

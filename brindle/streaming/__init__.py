@@ -1 +1 @@
-"""Incremental (Structured Streaming) forms of the aggregations."""
+"""Structured Streaming forms of the distributions."""

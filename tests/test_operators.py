@@ -81,6 +81,17 @@ def test_chain_component(spark):
     assert {r.component for r in got} == {0} and len(got) == 201
 
 
+def test_components_by_rounds(spark):
+    from brindle.operators.components import connected_components
+
+    rows = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 100), (7, 7), (None, 1)] + [(1000, 1000 + i) for i in range(1, 50)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = {i: 0 for i in range(61)} | {i: 100 for i in (100, 200, 300)} | {1000 + i: 1000 for i in range(50)}
+    for small in (0, 500_000):
+        assert {r.node: r.component for r in connected_components(edges, small=small).collect()} == want
+    assert connected_components(edges.where("false"), small=0).count() == 0
+
+
 def test_pagerank(spark):
     edges = spark.createDataFrame([(0, 1, "p"), (1, 2, "p"), (2, 0, "p"), (2, 1, "p")], "src long, dst long, attr string")
     got = {r.id: r.rank for r in G.pagerank(spark.range(3), edges, 1e-9).collect()}

@@ -110,6 +110,16 @@ def uri_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(multiset_overlap(x, y).cast("double"), (F.size(x) + F.size(y)).cast("double"))
 
 
+def numbered(arr: Column) -> Column:
+    """Each element with the number of its occurrence, so that multisets become sets; for elements of one length."""
+    return F.transform(arr, lambda g, i: F.concat(g, F.size(F.filter(F.slice(arr, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def set_similarity(a: Column, b: Column) -> Column:
+    """``uri_similarity`` of names whose numbered bigrams are at hand: one hashed intersection."""
+    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), (F.size(a) + F.size(b)).cast("double"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets; null when both are empty."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))

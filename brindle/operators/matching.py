@@ -98,19 +98,23 @@ def entity_attributes(triples: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def filter_candidates(pairs: DataFrame, attributes: DataFrame, predicates: bool = True, categories: bool = True) -> DataFrame:
-    """Pairs with the same relation name, and the same category and subcategory; names are kept as subject1, subject2, name1, name2."""
-    side = lambda n: attributes.select(*(F.col(c).alias(f"{c}{n}") for c in ("id", "subject", "rel_name", "subj_name", "category", "subcategory")))
+    """Pairs with the same relation name, and the same category and subcategory; names are kept as subject1, subject2, name1, name2.
+
+    The bigrams of names (grams1, grams2) are made once for each entity, before the join.
+    """
+    grams = C.numbered(C.bigrams(F.col("subj_name")))
+    side = lambda n: attributes.select(*(F.col(c).alias(f"{c}{n}") for c in ("id", "subject", "rel_name", "subj_name", "category", "subcategory")), grams.alias(f"grams{n}"))
     joined = pairs.join(side(1), "id1").join(side(2), "id2")
     if predicates:
         joined = joined.where("rel_name1 = rel_name2")
     if categories:
         joined = joined.where("category1 = category2 AND subcategory1 = subcategory2")
-    return joined.select("id1", "id2", "subject1", "subject2", F.col("subj_name1").alias("name1"), F.col("subj_name2").alias("name2"))
+    return joined.select("id1", "id2", "subject1", "subject2", F.col("subj_name1").alias("name1"), F.col("subj_name2").alias("name2"), "grams1", "grams2")
 
 
 def similarities(pairs: DataFrame) -> DataFrame:
     """Pairs with ``sim``, the similarity of their names; null where neither has a character."""
-    return pairs.withColumn("sim", C.uri_similarity(F.col("name1"), F.col("name2")))
+    return pairs.withColumn("sim", C.set_similarity(F.col("grams1"), F.col("grams2")))
 
 
 def match(pairs: DataFrame, threshold: float = 0.45) -> DataFrame:

@@ -17,6 +17,8 @@ def one(spark, column, **values):
 @pytest.mark.parametrize("a, b, want", [("spider", "spider", 0.5), ("a", "a", 0.5), ("ab", "cd", 0.0), ("", "", None), ("aaa", "aaa", 0.5)])
 def test_uri_similarity(spark, a, b, want):
     assert one(spark, C.uri_similarity(F.col("a"), F.col("b")), a=a, b=b) == want
+    grams = [C.numbered(C.bigrams(F.col(c))) for c in "ab"]
+    assert one(spark, C.set_similarity(*grams), a=a, b=b) == want
 
 
 def test_bigrams(spark):

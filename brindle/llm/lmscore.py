@@ -82,9 +82,10 @@ def unpack_counts(data: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind)[:, 0]
 
 
-def key_bits(n_tokens: int) -> int:
-    """Bits of a key, so that a key meets another one by chance with probability 2^-16 at most, at any size; 64 at most."""
-    return min(64, max(40, int(max(2, 2 * n_tokens) - 1).bit_length() + 16))
+def key_bits(chars: int) -> int:
+    """Bits of a key for texts of so many characters: a key then meets one of the others (half as many histories and half as
+    many bigrams as characters at most) by chance with probability 2^-12 at most, at any size; 64 at most."""
+    return min(64, max(40, int(chars).bit_length() + 12))
 
 
 def _blocks(read: Iterator[tuple], text_at: int, tokens: int) -> Iterator[list[tuple]]:
@@ -100,8 +101,9 @@ def _blocks(read: Iterator[tuple], text_at: int, tokens: int) -> Iterator[list[t
         yield held
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+def _by_shard(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """Shards are ranges of keys, so ascending keys are in the order of their shards, and differences within one are small."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -133,9 +135,7 @@ def count_model(docs: DataFrame, text_col: str, target_col: str, shards: int, bl
             keys = np.concatenate([pairs, histories])
             wanted = np.concatenate([wanted, wanted]).astype(np.int64)
             keys, target, both = _sum_by_key(keys, wanted, np.ones(len(keys), np.int64))
-            order = np.argsort(_by_shard(keys, shards), kind="stable")
-            keys, target, both = keys[order], target[order], both[order]
-            for shard, s, e in _cuts(_by_shard(keys, shards)):
+            for shard, s, e in _cuts(_by_shard(keys, shards, bits)):
                 yield shard, pack_keys(keys[s:e]), pack_counts(target[s:e]), pack_counts((both - target)[s:e])
 
     def merge(read):
@@ -172,7 +172,7 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     shards = max(4, -(-chars // shard_chars))
-    bits = key_bits(chars)  # there are fewer words than characters
+    bits = key_bits(chars)
     model = count_model(docs, text_col, target_col, shards, block_tokens, bits)
     vocabulary, n_target, n_other = (x or 0 for x in model.agg(F.sum("n_words"), F.sum("n_target"), F.sum("n_other")).first())
     n = max(1, n_target + n_other)
@@ -208,9 +208,9 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
             sums = np.bincount(at[hit], weights=terms_known[place[hit]], minlength=len(block)) if len(keys_known) else np.zeros(len(block))
             yield -1, number, [k for k, _ in block], sizes.astype("<i8").tobytes(), sums.astype("<f8").tobytes(), None
             keys, at = keys[~hit], at[~hit]
-            order = np.lexsort((keys, _by_shard(keys, shards)))
+            order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
-            for shard, s, e in _cuts(_by_shard(keys, shards)):
+            for shard, s, e in _cuts(_by_shard(keys, shards, bits)):
                 part = keys[s:e]
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 repeats = np.diff(np.concatenate([starts, [e - s]]))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import ship
+
 #: Irregular forms.
 IRREGULAR = {
     "are": "be", "is": "be", "was": "be", "were": "be", "been": "be", "am": "be", "has": "have", "had": "have", "did": "do", "done": "do",
@@ -35,6 +37,8 @@ def lemma(word: str) -> str:
 
 def lemmatize(tokens: Column) -> Column:
     """An array of tokens as an array of distinct lemmas, by batches."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
 
     @F.pandas_udf("array<string>")
     def run(column: pd.Series) -> pd.Series:

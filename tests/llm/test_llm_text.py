@@ -193,3 +193,23 @@ def test_many_variants_are_one_group(spark):
     texts = [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in range(60)]
     rows = LN.dedup_lines(frame(spark, texts), per_line=2).collect()
     assert sum(bool(r.text) for r in rows) <= 3
+
+
+def test_dense_groups_of_permuted_words(spark):
+    """Groups whose lines hold the same words in other orders: links that fail are not taken for links."""
+    words = plain_words(20)
+    rng = np.random.default_rng(3)
+    lines = []
+    for g in range(30):
+        order = [words[i] for i in rng.permutation(20)]
+        lines += [" ".join(order[:i] + [f"other{'abcdefghij'[g % 10]}{'abc'[g // 10]}"] + order[i + 1 :]) for i in range(0, 16, 2)]
+    split = [line.split() for line in lines]
+    groups = {i: i for i in range(len(lines))}
+    for i in range(len(lines)):
+        for j in range(i):
+            if LN.edit_similarity(split[i], split[j]) >= 0.8:
+                low, high = sorted((groups[i], groups[j]))
+                groups = {k: low if v == high else v for k, v in groups.items()}
+    for per_line in (1, 16):
+        rows = LN.dedup_lines(frame(spark, lines), per_line=per_line).collect()
+        assert {r.doc_id for r in rows if r.text} == set(groups.values())

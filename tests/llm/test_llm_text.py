@@ -213,3 +213,32 @@ def test_dense_groups_of_permuted_words(spark):
     for per_line in (1, 16):
         rows = LN.dedup_lines(frame(spark, lines), per_line=per_line).collect()
         assert {r.doc_id for r in rows if r.text} == set(groups.values())
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.9, 0.5])
+def test_all_alike_lines_meet(similarity):
+    """Edited copies of lines of all lengths, among others of the same words, against all pairs by edit distance."""
+    rng = np.random.default_rng(5)
+    vocabulary = plain_words(400)
+    draw = lambda n: [vocabulary[i].encode() for i in (400 * rng.random(n) ** 3).astype(int)]
+    lines = [draw(n) for n in [*range(2, 45)] * 3]
+    for base in lines[:]:
+        for _ in range(2):
+            new = list(base)
+            for _ in range(int((1 - similarity) * len(base) + 1e-9)):
+                at = int(rng.integers(0, len(new)))
+                new[at : at + int(rng.integers(0, 2))] = draw(int(rng.integers(0, 2)))
+            lines.append(new)
+    lines = [list(x) for x in {tuple(x): x for x in lines} if len(x) >= max(LN.least_words(similarity), LN.run_size(similarity))]
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if LN.edit_similarity(lines[i], lines[j]) >= similarity}
+    values, at = LN.prefixes(lines, np.zeros(LN.CELLS, np.float32), similarity)
+    a, b, _, _ = LN.meetings(values, at.astype(np.uint64), similarity, 10**9)
+    met = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    assert len(alike) > 100 and alike <= met
+
+
+def test_one_edit_in_five_words_is_found(spark):
+    words = plain_words(300)
+    texts = [t for i in range(50) for t in (" ".join(words[5 * i : 5 * i + 5]), " ".join([*words[5 * i : 5 * i + 2], "other", *words[5 * i + 3 : 5 * i + 5]]))]
+    rows = LN.dedup_lines(frame(spark, texts)).collect()
+    assert {r.doc_id for r in rows if r.text} == set(range(0, 100, 2))

@@ -21,6 +21,7 @@ the id and the text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import map_batches, map_rows, stash
+from brindle.llm.lines import LENGTH_BITS, LONGEST, candidate_pairs, verified
 from brindle.operators.components import connected_components
 
 SEED = 42
@@ -215,7 +217,83 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(whole, F.col("f") == F.col("g")).select(id_col, F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one for each component, with all their columns."""
-    names = simhash_components(docs, id_col, text_col, shingle, threshold).select(F.col("component_id").alias("_component")).distinct()
-    return docs.join(names, docs[id_col].eqNullSafe(F.col("_component")), "left_semi").dropDuplicates([id_col])
+def shingle_values(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct XXH64 values of the text's word shingles, in ascending order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    size = min(shingle, len(words))
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, per_text: int = 16) -> DataFrame:
+    """(a, b): fingerprints of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Exact: two such sets lack less than a fifth (at 0.8) of each other's values, so of the values in ascending order each
+    text sends one more than it can lack, and both send one that they share. Fingerprints are connected, not all pairs sent.
+    """
+
+    def sends(read):
+        seen: set[int] = set()
+        values, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for (text,) in read:
+            own = shingle_values(text, shingle)
+            if not len(own) or (mark := xxhash.xxh64_intdigest(own.tobytes())) in seen:
+                continue
+            seen.add(mark)
+            if len(seen) > 200_000:
+                seen.clear()
+            n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+            # the lowest values have equal first bits, so they are mixed for the lots
+            mixed = (own[:n] ^ own[:n] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            values.append(mixed & ~np.uint64(LONGEST) | np.uint64(min(len(own), LONGEST)))
+            keys.append(np.full(n, fingerprint(text, shingle), np.uint64))
+            if len(values) > 512:
+                yield np.concatenate(values), np.concatenate(keys)
+                values, keys = values[:1], keys[:1]
+        yield np.concatenate(values), np.concatenate(keys)
+
+    def sets(read):
+        for (text,) in read:
+            own = shingle_values(text, shingle)
+            if len(own):
+                mark = fingerprint(text, shingle)
+                yield mark - (1 << 64) if mark >> 63 else mark, (own & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+    def alike(x, y):
+        both = len(np.intersect1d(x, y))
+        return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+    most = lambda n, m: ((1 - similarity) / (1 + similarity) * (n + m) + 1e-9).astype(np.int64)
+    texts = docs.select(text_col)
+    total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    # about six characters to a word
+    parts = 1 + int(total / 6 * (1 - similarity)) // (1 << 20)
+    found = stash(candidate_pairs(texts, sends, similarity, per_text, parts))
+    needed = found.select(F.explode(F.when(F.col("dense"), F.array("b")).otherwise(F.array("a", "b"))).alias("key")).distinct()
+    words = map_rows(texts, "key long, words binary", sets).join(needed, "key", "left_semi").distinct()
+    return verified(found, words, "<u4", similarity, alike, most, 1024)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id (null last), then text hash.
+
+    Components are of texts linked by SimHash (``threshold`` bits) or by Jaccard similarity of their shingles.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def rows(read):
+        for key, text in read:
+            value = fingerprint(text, shingle)
+            # as F.xxhash64 has it, where a null is the seed
+            mark = SEED if text is None else xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), SEED)
+            yield key, mark - (1 << 64) if mark >> 63 else mark, value - (1 << 64) if value >> 63 else value
+
+    marked = stash(map_rows(docs.select(id_col, text_col), f"id {kind}, mark long, f long", rows))
+    edges = link_fingerprints(marked.select("f").distinct(), threshold).unionByName(shingle_links(docs, text_col, shingle, similarity))
+    found = connected_components(edges)
+    first = marked.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
+    named = first.join(found, first.f == found.node, "left").groupBy(F.coalesce("component", "f").alias("root")).agg(F.min("first").alias("first"))
+    keep = named.select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_mark"))
+    stays = docs.withColumn("_own", F.xxhash64(text_col))
+    return stays.join(keep, stays[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")

@@ -306,3 +306,12 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in seen["simhash_dedup"].collect()) == [*range(20), 30]
     assert {r.doc_id for r in seen["packing"].collect()} <= {*range(20), 30}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_near_copies_by_shingles(spark):
+    """A text with one word changed shares over 0.8 of its five-word shingles, not 61 bits of its SimHash."""
+    words = [f"w{i * 7919 % 1000}" for i in range(240)]
+    texts = [" ".join(words[:120]), " ".join([*words[:60], "other", *words[61:120]]), " ".join(words[120:])]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() > 3
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(frame(spark, [(i, "s", t) for i, t in enumerate(texts)])).collect()) == [0, 2]

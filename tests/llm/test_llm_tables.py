@@ -315,3 +315,9 @@ def test_near_copies_by_shingles(spark):
     prints = [simhash.fingerprint(t, 5) for t in texts]
     assert (prints[0] ^ prints[1]).bit_count() > 3
     assert sorted(r.doc_id for r in simhash.drop_near_copies(frame(spark, [(i, "s", t) for i, t in enumerate(texts)])).collect()) == [0, 2]
+
+
+def test_near_copies_without_ids(spark):
+    texts = [" ".join(f"{c}{i * 31 % 97}" for i in range(40)) for c in "abcd"]
+    rows = simhash.drop_near_copies(frame(spark, [(None, "s", texts[0]), (None, "s", texts[1]), (4, "s", texts[2]), (4, "s", texts[3]), (None, "s", texts[2])])).collect()
+    assert sorted((r.doc_id is None, r.text) for r in rows) == [(False, texts[2]), (False, texts[3]), (True, texts[0]), (True, texts[1])]

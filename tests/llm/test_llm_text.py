@@ -242,3 +242,15 @@ def test_one_edit_in_five_words_is_found(spark):
     texts = [t for i in range(50) for t in (" ".join(words[5 * i : 5 * i + 5]), " ".join([*words[5 * i : 5 * i + 2], "other", *words[5 * i + 3 : 5 * i + 5]]))]
     rows = LN.dedup_lines(frame(spark, texts)).collect()
     assert {r.doc_id for r in rows if r.text} == set(range(0, 100, 2))
+
+
+def test_runs_are_chosen_alike_in_any_company():
+    """What a line sends depends on the line and the counts alone, not on the lines handled with it."""
+    rng = np.random.default_rng(9)
+    vocabulary = [w.encode() for w in plain_words(50)]
+    counts = rng.integers(0, 1000, LN.CELLS).astype(np.float32)
+    lines = [[vocabulary[i] for i in rng.integers(0, 50, n)] for n in range(4, 40)]
+    values, at = LN.prefixes(lines, counts, 0.8)
+    for i, line in enumerate(lines):
+        alone, _ = LN.prefixes([line], counts, 0.8)
+        assert sorted(values[at == i].tolist()) == sorted(alone.tolist())

@@ -6,18 +6,29 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from brindle.storage import map_batches, shared_dir, stash
 
-__all__ = ["SPACE_BYTES", "WORD_PATTERN", "map_batches", "map_rows", "shared_dir", "stash"]
+__all__ = ["SPACE_BYTES", "WORD_PATTERN", "map_batches", "map_rows", "pick", "renamed", "shared_dir", "stash"]
 
 #: The separators between words, as a regular-expression class and as bytes (also what ``bytes.split()`` splits on).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """The same columns as x0, x1, ..., so that their own names, dots and repeats included, cannot clash with others."""
+    return df.toDF(*(f"x{i}" for i in range(len(df.columns))))
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns as c0, c1, ...; of columns with equal names the first."""
+    return renamed(df).select(*(F.col(f"x{df.columns.index(n)}").alias(f"c{i}") for i, n in enumerate(names)))
+
+
 def map_rows(df: DataFrame, schema: str | StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]], chunk: int = 4096) -> DataFrame:
     """``mapInArrow`` over plain tuples: ``rows`` gets an iterator of row tuples and yields output tuples, written in chunks.
 

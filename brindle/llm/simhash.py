@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_batches, map_rows, stash
-from brindle.llm.lines import LENGTH_BITS, LONGEST, candidate_pairs, verified
+from brindle.llm.common import map_batches, map_rows, pick, renamed, stash
+from brindle.llm.lines import ANYWHERE, MOST, ROW, candidates, key_filter, needed_keys, parities, verified
 from brindle.operators.components import connected_components
 
 SEED = 42
@@ -195,26 +195,27 @@ def link_fingerprints(prints: DataFrame, threshold: int = 3) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, f): the fingerprint of each row's whole text, as a signed long. One pass, no shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, f): the id and the fingerprint of each row's whole text, as a signed long. One pass, no shuffle."""
+    table = pick(docs, id_col, text_col)
+    kind = table.schema["c0"].dataType.simpleString()
 
     def rows(read):
         for key, text in read:
             value = fingerprint(text, shingle)
             yield key, value - (1 << 64) if value >> 63 else value
 
-    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {kind}, f long", rows)
+    return map_rows(table, f"id {kind}, f long", rows)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
     marked = stash(fingerprints(docs, id_col, text_col, shingle))
-    classes = marked.groupBy("f").agg(F.min(id_col).alias("first"))
+    classes = marked.groupBy("f").agg(F.min("id").alias("first"))
     found = connected_components(link_fingerprints(marked.select("f").distinct(), threshold))
     named = classes.join(found, classes.f == found.node, "left").select("f", "first", F.coalesce("component", "f").alias("root"))
     roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
     whole = named.join(roots, "root").select(F.col("f").alias("g"), "component_id")
-    return marked.join(whole, F.col("f") == F.col("g")).select(id_col, F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(whole, F.col("f") == F.col("g")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_values(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -231,56 +232,66 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
     Exact: two such sets lack less than a fifth (at 0.8) of each other's values, so of the values in ascending order each
     text sends one more than it can lack, and both send one that they share. Fingerprints are connected, not all pairs sent.
     """
+    texts = pick(docs, text_col)
 
     def sends(read):
         seen: set[int] = set()
-        values, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        values: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
         for (text,) in read:
             own = shingle_values(text, shingle)
             if not len(own) or (mark := xxhash.xxh64_intdigest(own.tobytes())) in seen:
                 continue
-            seen.add(mark)
             if len(seen) > 200_000:
                 seen.clear()
+            seen.add(mark)
             n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
             # the lowest values have equal first bits, so they are mixed for the lots
             mixed = (own[:n] ^ own[:n] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
-            values.append(mixed & ~np.uint64(LONGEST) | np.uint64(min(len(own), LONGEST)))
-            keys.append(np.full(n, fingerprint(text, shingle), np.uint64))
+            sent = np.zeros(n, ROW)
+            sent["value"], sent["n"], sent["place"] = mixed & np.uint64(0xFFFFFFFF), min(len(own), MOST), ANYWHERE
+            sent["key"], sent["marks"] = fingerprint(text, shingle), parities(own, np.zeros(1, np.int64))[0]
+            values.append(mixed)
+            rows.append(sent)
             if len(values) > 512:
-                yield np.concatenate(values), np.concatenate(keys)
-                values, keys = values[:1], keys[:1]
-        yield np.concatenate(values), np.concatenate(keys)
-
-    def sets(read):
-        for (text,) in read:
-            own = shingle_values(text, shingle)
-            if len(own):
-                mark = fingerprint(text, shingle)
-                yield mark - (1 << 64) if mark >> 63 else mark, (own & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+                yield np.concatenate(values), np.concatenate(rows)
+                values, rows = [], []
+        if values:
+            yield np.concatenate(values), np.concatenate(rows)
 
     def alike(x, y):
-        both = len(np.intersect1d(x, y))
+        both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
-    most = lambda n, m: ((1 - similarity) / (1 + similarity) * (n + m) + 1e-9).astype(np.int64)
-    texts = docs.select(text_col)
-    total = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    def differ(n, m):
+        return ((1 - similarity) / (1 + similarity) * (np.asarray(n) + m) + 1e-9).astype(np.int64)
+
+    total = texts.agg(F.sum(F.length("c0"))).first()[0] or 0
     # about six characters to a word
     parts = 1 + int(total / 6 * (1 - similarity)) // (1 << 20)
-    found = stash(candidate_pairs(texts, sends, similarity, per_text, parts))
-    needed = found.select(F.explode(F.when(F.col("dense"), F.array("b")).otherwise(F.array("a", "b"))).alias("key")).distinct()
-    words = map_rows(texts, "key long, words binary", sets).join(needed, "key", "left_semi").distinct()
-    return verified(found, words, "<u4", similarity, alike, most, 1024)
+    found = stash(candidates(texts, sends, similarity, per_text, parts, differ, differ))
+    needed = stash(needed_keys(found))
+    wanted = key_filter(needed)
+
+    def sets(read):
+        for (text,) in read:
+            own = shingle_values(text, shingle)
+            if len(own) and wanted(np.full(1, mark := fingerprint(text, shingle), np.uint64))[0]:
+                yield mark - (1 << 64) if mark >> 63 else mark, own.tobytes()
+
+    load = lambda x: np.frombuffer(x, np.uint64)
+    return verified(found, needed, map_rows(texts, "key long, content binary", sets), load, load, similarity, alike, differ, 1024)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: that of the smallest id (null last), then text hash.
 
-    Components are of texts linked by SimHash (``threshold`` bits) or by Jaccard similarity of their shingles.
+    Components are of texts linked by SimHash (``threshold`` bits) or by Jaccard similarity of their shingles. Rows of one
+    id with different texts are different documents; of rows that repeat id and text one stays. An empty table stays empty.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    table = pick(docs, id_col, text_col)
+    kind = table.schema["c0"].dataType.simpleString()
 
     def rows(read):
         for key, text in read:
@@ -289,11 +300,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             mark = SEED if text is None else xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), SEED)
             yield key, mark - (1 << 64) if mark >> 63 else mark, value - (1 << 64) if value >> 63 else value
 
-    marked = stash(map_rows(docs.select(id_col, text_col), f"id {kind}, mark long, f long", rows))
+    marked = stash(map_rows(table, f"id {kind}, mark long, f long", rows))
     edges = link_fingerprints(marked.select("f").distinct(), threshold).unionByName(shingle_links(docs, text_col, shingle, similarity))
     found = connected_components(edges)
     first = marked.groupBy("f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
     named = first.join(found, first.f == found.node, "left").groupBy(F.coalesce("component", "f").alias("root")).agg(F.min("first").alias("first"))
-    keep = named.select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_mark"))
-    stays = docs.withColumn("_own", F.xxhash64(text_col))
-    return stays.join(keep, stays[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")
+    keep = named.select(F.col("first.id").alias("k_id"), F.col("first.mark").alias("k_mark"))
+    at = docs.columns.index
+    flat = renamed(docs).withColumn("own", F.xxhash64(F.col(f"x{at(text_col)}")))
+    key = f"x{at(id_col)}"
+    stays = flat.join(keep, F.col(key).eqNullSafe(F.col("k_id")) & (F.col("own") == F.col("k_mark")), "left_semi")
+    return stays.dropDuplicates([key, "own"]).drop("own").toDF(*docs.columns)

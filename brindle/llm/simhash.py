@@ -226,7 +226,7 @@ def shingle_values(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, per_text: int = 16) -> DataFrame:
+def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, per_text: int = 4) -> DataFrame:
     """(a, b): fingerprints of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Exact: two such sets lack less than a fifth (at 0.8) of each other's values, so of the values in ascending order each

@@ -13,19 +13,32 @@ from brindle.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset
+    and everything runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="brindle-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Spark then drops an execution's shuffle files when it ends, not when the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/brindle-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import map_batches, map_rows, pick, renamed, stash
-from brindle.llm.lines import ANYWHERE, MOST, ROW, candidates, key_filter, needed_keys, parities, verified
+from brindle.llm.lines import ANYWHERE, candidates, feature_rows, half_parities, key_filter, needed_keys, parities, verified
 from brindle.operators.components import connected_components
 
 SEED = 42
@@ -249,9 +249,9 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
             # the lowest values have equal first bits, so they are mixed for the lots
             mixed = (own[:n] ^ own[:n] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
-            sent = np.zeros(n, ROW)
-            sent["value"], sent["n"], sent["place"] = mixed & np.uint64(0xFFFFFFFF), min(len(own), MOST), ANYWHERE
-            sent["key"], sent["marks"] = fingerprint(text, shingle), parities(own, np.zeros(1, np.int64))[0]
+            start = np.zeros(1, np.int64)
+            alone = [np.full(n, x) for x in (np.uint64(fingerprint(text, shingle)), len(own), parities(own, start)[0], half_parities(own, start)[0])]
+            sent = feature_rows(mixed, ANYWHERE, alone[0], alone[1], False, *alone[2:])
             values.append(mixed)
             rows.append(sent)
             if len(values) > 512:

@@ -207,7 +207,7 @@ def alike_groups(lines, similarity=0.8):
     return groups
 
 
-def test_dense_groups_of_permuted_words(spark):
+def test_dense_groups_of_permuted_words(spark, monkeypatch):
     """Groups whose lines hold the same words in other orders: links that fail are not taken for links."""
     words = plain_words(20)
     rng = np.random.default_rng(3)
@@ -215,7 +215,8 @@ def test_dense_groups_of_permuted_words(spark):
     for g in range(30):
         order = [words[i] for i in rng.permutation(20)]
         lines += [" ".join(order[:i] + [f"other{'abcdefghij'[g % 10]}{'abc'[g // 10]}"] + order[i + 1 :]) for i in range(0, 16, 2)]
-    for per_line in (1, 16):
+    for per_line, block in ((0, 5), (4, 4096)):
+        monkeypatch.setattr(LN, "BLOCK", block)
         rows = LN.dedup_lines(frame(spark, lines), per_line=per_line).collect()
         assert {r.doc_id for r in rows if r.text} == set(alike_groups([x.split() for x in lines]))
 
@@ -237,18 +238,24 @@ def edited_lines(similarity, seed=5, sizes=(*range(2, 45), *range(46, 120, 7))):
     return [list(x) for x in {tuple(x): x for x in lines} if len(x) >= LN.least_words(similarity)]
 
 
+def hashed(lines):
+    """Lines of words as the operator reads them."""
+    found = [(line, key) for _, _, line, key in LN.keyed_lines(["\n".join(b" ".join(x).decode() for x in lines)])]
+    return LN.hash_lines(*zip(*found))
+
+
 @pytest.mark.parametrize("similarity, scale, skew", [(0.8, 1.0, 0), (0.8, 10.0, 1), (0.8, 1e6, 1), (0.9, 20.0, 1), (0.5, 1.0, 0)])
 def test_all_alike_lines_meet(similarity, scale, skew):
     """Whatever words count as rare, all pairs that are alike by edit distance meet as often as they need to."""
     lines = edited_lines(similarity)
-    read = LN.read_lines(["\n".join(b" ".join(x).decode() for x in lines)])
+    read = hashed(lines)
     counts = np.zeros(1 << LN.CELL_BITS)
     if skew:
         np.add.at(counts, (read.words >> np.uint64(64 - LN.CELL_BITS)).astype(int), 1)
     rare = LN.rarity(counts, scale, similarity)
     _, rows = LN.line_rows(read, rare, similarity)
     shift = lambda n, m: LN.edits(np.maximum(n, m), similarity)
-    (a, b, met, need), _ = LN.meetings(rows, similarity, 10**9, shift, lambda n, m: 2 * shift(n, m))
+    (a, b, met, need), _ = LN.meetings(rows, similarity, 10**9, shift, lambda n, m: 2 * shift(n, m) - np.abs(n - m))
     at = {k: i for i, k in enumerate(read.keys.view(np.int64).tolist())}
     pairs = {tuple(sorted((at[x], at[y]))) for x, y, m, n in zip(a.tolist(), b.tolist(), met.tolist(), need.tolist()) if m >= n}
     alike = {(i, j) for j in range(len(lines)) for i in range(j) if LN.edit_similarity(lines[i], lines[j]) >= similarity - 1e-12}
@@ -256,16 +263,17 @@ def test_all_alike_lines_meet(similarity, scale, skew):
 
 
 def test_line_reader_like_plain_splitting():
-    texts = [*ODD, "A-b, 12 c\n\n\x0b\r x\u00dfY\n", "q" * 400_000 + " z", "tail\n"]
-    read = LN.read_lines(texts)
-    plain = [(i, j, w) for i, t in enumerate(texts) for j, w in enumerate(LN.normal_lines(t) if t else []) if w]
-    assert [(i, j) for i, j, _ in plain] == list(zip(read.text.tolist(), read.number.tolist()))
-    assert [w for *_, w in plain] == [read.bytes_of(i).split() for i in range(len(plain))]
+    texts = [*ODD, "A-b, 12 c\n\n\x0b\r x\u00dfY\n - \n", "q" * 400_000 + " z", "tail\n"]
+    read = list(LN.keyed_lines(texts))
+    split = lambda t: [line.split() for line in t.lower().encode().translate(LN._TABLE, LN._DROP).split(b"\n")]
+    plain = [(i, j, w) for i, t in enumerate(texts) for j, w in enumerate(split(t) if t else []) if w]
+    assert [(i, j, line.split()) for i, j, line, _ in read] == plain and all(line == b" ".join(line.split()) for _, _, line, _ in read)
+    lines = LN.hash_lines([line for _, _, line, _ in read], [key for *_, key in read])
+    assert lines.sizes.tolist() == [len(w) for *_, w in plain] and lines.starts.tolist() == [0, *np.cumsum(lines.sizes)[:-1].tolist()]
     named = {}
-    for k, (*_, w) in zip(read.keys.tolist(), plain):
-        assert named.setdefault(k, w) == w
-    assert len(named) == len({tuple(w) for *_, w in plain})
-    assert LN.read_lines(texts[::-1]).keys.tolist() != read.keys.tolist() and set(LN.read_lines(texts[::-1]).keys.tolist()) == set(named)
+    for h, w in zip(lines.words.tolist(), [x for *_, w in plain for x in w]):
+        assert named.setdefault(h, w) == w
+    assert len(named) == len({x for *_, w in plain for x in w})
 
 
 SF = "/root/testdata/sf0.001"
@@ -329,7 +337,6 @@ def test_features_are_chosen_alike_in_any_company():
     vocabulary = plain_words(50)
     rare = LN.rarity(rng.integers(0, 1000, 1 << LN.CELL_BITS).astype(float), 3.0, 0.8)
     lines = [" ".join(vocabulary[i] for i in rng.integers(0, 50, n)) for n in range(4, 70)]
-    read = LN.read_lines(lines)
-    value, line, _, _ = LN.features(read, rare, 0.8)
+    value, line, _, _ = LN.features(hashed([x.encode().split() for x in lines]), rare, 0.8)
     for i, text in enumerate(lines):
-        assert sorted(value[line == i].tolist()) == sorted(LN.features(LN.read_lines([text]), rare, 0.8)[0].tolist())
+        assert sorted(value[line == i].tolist()) == sorted(LN.features(hashed([text.encode().split()]), rare, 0.8)[0].tolist())

@@ -281,7 +281,7 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
                 yield mark - (1 << 64) if mark >> 63 else mark, own.tobytes()
 
     load = lambda x: np.frombuffer(x, np.uint64)
-    return verified(found, needed, map_rows(texts, "key long, content binary", sets), load, load, similarity, alike, differ, 1024)
+    return verified(found, needed, map_rows(texts, "key long, content binary", sets), load, lambda rows: [load(x) for x in rows], similarity, alike, differ, 1024)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:

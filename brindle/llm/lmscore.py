@@ -5,7 +5,8 @@ The probability of word w after h is (c(h, w) + a) / (c(h) + a V), V being the s
 ``alpha`` times the corpus's share of all tokens, so that both models are smoothed alike however large they are. A
 document's score is its mean loss a token under the target model less that under the background model: the lower, the more
 like the target. The difference is a sum of one term for each bigram and one for each history, so each kind of term is
-looked up by itself.
+looked up by itself. A document's own occurrences are taken out of the counts of the corpus that holds it, so that no
+document is scored by what a model remembers of it alone; of a document that occurs twice, the other copy stays.
 
 Everything is counted over all documents and grows with them; nothing of the models is held by one process but terms whose
 number is bounded: those of at least 1 / ``hot`` of all tokens (at most ``hot`` bigrams and ``hot`` histories), which every
@@ -14,7 +15,8 @@ keys with counts (first pass), and then its distinct other keys with the documen
 streams through the requests with its part of the model in memory. The number of shards follows the size of the texts.
 
 Defined results: null and empty texts are one event (the end after the start). A null target flag counts as background. Rows
-with equal ids are scored one by one. If one corpus is empty its model is uniform. Columns besides the named are not read.
+with equal ids are scored one by one. If one corpus is empty its model is uniform; an empty table gives an empty one. Columns
+besides the named are not read. N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import map_rows, stash
+from brindle.llm.common import map_rows, pick, renamed, stash
 
 START, END = np.uint64(0x5374617274000001), np.uint64(0x456E640000000003)
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -42,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def events(texts: list[str | None], bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def events(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bigram keys, history keys, document positions) of all events of some texts. Bigram keys are even, history keys odd."""
     words = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
     sizes = np.array([len(w) for w in words])
@@ -56,8 +58,8 @@ def events(texts: list[str | None], bits: int = 64) -> tuple[np.ndarray, np.ndar
     first[starts + sizes + 1] = False
     at = np.flatnonzero(first)
     before, after = full[at], full[at + 1]
-    one, cut = np.uint64(1), np.uint64(64 - bits)
-    return _mix(before * _A + after) >> cut & ~one, _mix(before + _B) >> cut | one, np.repeat(np.arange(len(texts)), sizes + 1)
+    one = np.uint64(1)
+    return _mix(before * _A + after) & ~one, _mix(before + _B) | one, np.repeat(np.arange(len(texts)), sizes + 1)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -82,12 +84,6 @@ def unpack_counts(data: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind)[:, 0]
 
 
-def key_bits(chars: int) -> int:
-    """Bits of a key for texts of so many characters: a key then meets one of the others (half as many histories and half as
-    many bigrams as characters at most) by chance with probability 2^-12 at most, at any size; 64 at most."""
-    return min(64, max(40, int(chars).bit_length() + 12))
-
-
 def _blocks(read: Iterator[tuple], text_at: int, tokens: int) -> Iterator[list[tuple]]:
     """Rows in blocks of about so many tokens (by a rough count), of 60,000 rows at most."""
     held, size = [], 0
@@ -101,9 +97,9 @@ def _blocks(read: Iterator[tuple], text_at: int, tokens: int) -> Iterator[list[t
         yield held
 
 
-def _by_shard(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+def _by_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shards are ranges of keys, so ascending keys are in the order of their shards, and differences within one are small."""
-    return ((keys >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -125,17 +121,17 @@ def _groups(read: Iterator[tuple]) -> Iterator[tuple[object, Iterable[tuple]]]:
     yield from groupby(read, key=lambda r: r[0])
 
 
-def count_model(docs: DataFrame, text_col: str, target_col: str, shards: int, block_tokens: int, bits: int) -> DataFrame:
-    """A stored row for each shard: its sorted keys, and their counts in both corpora."""
+def count_model(docs: DataFrame, shards: int, block_tokens: int) -> DataFrame:
+    """From (id, text, target flag), a stored row for each shard: its sorted keys, and their counts in both corpora."""
 
     def count(read):
         for block in _blocks(read, 0, block_tokens):
-            pairs, histories, at = events([t for t, _ in block], bits)
+            pairs, histories, at = events([t for t, _ in block])
             wanted = np.array([bool(f) for _, f in block])[at]
             keys = np.concatenate([pairs, histories])
             wanted = np.concatenate([wanted, wanted]).astype(np.int64)
             keys, target, both = _sum_by_key(keys, wanted, np.ones(len(keys), np.int64))
-            for shard, s, e in _cuts(_by_shard(keys, shards, bits)):
+            for shard, s, e in _cuts(_by_shard(keys, shards)):
                 yield shard, pack_keys(keys[s:e]), pack_counts(target[s:e]), pack_counts((both - target)[s:e])
 
     def merge(read):
@@ -155,8 +151,8 @@ def count_model(docs: DataFrame, text_col: str, target_col: str, shards: int, bl
             even = (keys & np.uint64(1)) == 0
             yield shard, pack_keys(keys), pack_counts(target, "<i8"), pack_counts(other, "<i8"), int((~even).sum()), int(target[even].sum()), int(other[even].sum())
 
-    sent = map_rows(docs.select(text_col, target_col), "shard int, keys binary, t binary, b binary", count, chunk=64)
-    dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard")
+    sent = map_rows(docs.select("c1", "c2"), "shard int, keys binary, t binary, b binary", count, chunk=64)
+    dealt = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     return stash(map_rows(dealt, "shard int, keys binary, t binary, b binary, n_words long, n_target long, n_other long", merge, chunk=1))
 
 
@@ -167,71 +163,82 @@ def _terms(keys: np.ndarray, target: np.ndarray, other: np.ndarray, vocabulary:
     return sign * (np.log(other + a_other * scale) - np.log(target + a_target * scale))
 
 
+def _losses(at: np.ndarray, doc: np.ndarray, keys: np.ndarray, target: np.ndarray, other: np.ndarray, flags: np.ndarray, scale: tuple) -> np.ndarray:
+    """Each document's sum of terms, its own occurrences taken out of its corpus; occurrences are in the order of key and document.
+
+    ``at`` says which key an occurrence is of, ``doc`` in which document it is; ``flags`` says of documents if they are of the target.
+    """
+    heads = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])) if len(at) else np.zeros(0, np.int64)
+    own = np.diff(np.concatenate([heads, [len(at)]]))
+    at, doc = at[heads], doc[heads]
+    terms = _terms(keys[at], target[at] - own * flags[doc], other[at] - own * ~flags[doc], *scale)
+    return np.bincount(doc, weights=own * terms, minlength=len(flags))
+
+
 def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.1, hot: int = 1 << 16, shard_chars: int = 16_000_000, block_tokens: int = 400_000) -> DataFrame:
     """One row per input row: id, n_tokens (words and the end) and score. ``target_col`` flags the target's documents."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    docs = pick(docs, id_col, text_col, target_col)
+    kind = docs.schema["c0"].dataType.simpleString()
+    chars = docs.agg(F.sum(F.octet_length("c1"))).first()[0] or 0
     shards = max(4, -(-chars // shard_chars))
-    bits = key_bits(chars)
-    model = count_model(docs, text_col, target_col, shards, block_tokens, bits)
+    model = count_model(docs, shards, block_tokens)
     vocabulary, n_target, n_other = (x or 0 for x in model.agg(F.sum("n_words"), F.sum("n_target"), F.sum("n_other")).first())
     n = max(1, n_target + n_other)
     a_target, a_other = (alpha * max(x, 1) / n for x in (n_target, n_other))
+    scale = vocabulary, a_target, a_other
     floor = max(2, -(-n // hot))
 
     def values(keys: bytes, t: bytes, b: bytes):
-        k, t, b = unpack_keys(keys), unpack_counts(t, "<i8"), unpack_counts(b, "<i8")
-        return k, t + b, _terms(k, t, b, vocabulary, a_target, a_other)
+        return unpack_keys(keys), unpack_counts(t, "<i8"), unpack_counts(b, "<i8")
 
     def frequent(read):
-        for keys, t, b in read:
-            k, both, d = values(keys, t, b)
-            yield k[both >= floor].tobytes(), d[both >= floor].tobytes()
+        for row in read:
+            k, t, b = values(*row)
+            yield tuple(x[t + b >= floor].tobytes() for x in (k, t, b))
 
     # at most `hot` bigrams and `hot` histories reach the floor, whatever the corpus
-    top = map_rows(model.select("keys", "t", "b"), "k binary, d binary", frequent, chunk=8).collect()
-    hot_keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.k, np.uint64) for r in top)])
-    hot_terms = np.concatenate([np.zeros(0), *(np.frombuffer(r.d, np.float64) for r in top)])
+    top = map_rows(model.select("keys", "t", "b"), "k binary, t binary, b binary", frequent, chunk=8).collect()
+    hot_keys, *hot_counts = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[i], kind) for r in top)]) for i, kind in enumerate(("<u8", "<i8", "<i8")))
     order = np.argsort(hot_keys)
-    known = docs.sparkSession.sparkContext.broadcast((hot_keys[order], hot_terms[order]))
+    known = docs.sparkSession.sparkContext.broadcast((hot_keys[order], *(x[order] for x in hot_counts)))
 
     def ask(read):
         """Requests to shards, and for shard -1 what is known of the block's documents already."""
-        keys_known, terms_known = known.value
+        keys_known, target_known, other_known = known.value
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for block in _blocks(read, 1, block_tokens):
-            pairs, histories, at = events([t for _, t in block], bits)
+            pairs, histories, at = events([t for _, t, _ in block])
+            flags = np.array([bool(f) for *_, f in block])
             keys, at = np.concatenate([pairs, histories]), np.concatenate([at, at])
             sizes = np.bincount(at[: len(pairs)], minlength=len(block))
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
             place = np.searchsorted(keys_known, keys)
             hit = np.zeros(len(keys), bool) if not len(keys_known) else keys_known[np.minimum(place, len(keys_known) - 1)] == keys
-            sums = np.bincount(at[hit], weights=terms_known[place[hit]], minlength=len(block)) if len(keys_known) else np.zeros(len(block))
-            yield -1, number, [k for k, _ in block], sizes.astype("<i8").tobytes(), sums.astype("<f8").tobytes(), None
+            sums = _losses(place[hit], at[hit], keys_known, target_known, other_known, flags, scale)
+            yield -1, number, [k for k, *_ in block], sizes.astype("<i8").tobytes(), sums.astype("<f8").tobytes(), None, None
             keys, at = keys[~hit], at[~hit]
-            order = np.argsort(keys, kind="stable")
-            keys, at = keys[order], at[order]
-            for shard, s, e in _cuts(_by_shard(keys, shards, bits)):
+            for shard, s, e in _cuts(_by_shard(keys, shards)):
                 part = keys[s:e]
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 repeats = np.diff(np.concatenate([starts, [e - s]]))
-                yield shard, number, None, pack_keys(part[starts]), pack_counts(repeats), pack_counts(at[s:e], "<u2")
+                yield shard, number, None, pack_keys(part[starts]), pack_counts(repeats), pack_counts(at[s:e], "<u2"), np.packbits(flags).tobytes()
             number += 1
 
     def offer(read):
         for shard, keys, t, b in read:
-            yield shard, -1, None, keys, t, b
+            yield shard, -1, None, keys, t, b, None
 
     def answer(read):
         for shard, rows in _groups(read):
-            keys, terms = np.zeros(0, np.uint64), np.zeros(0)
-            for _, block, _, first, second, third in rows:
+            model = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for _, block, _, first, second, third, fourth in rows:
                 if block < 0:
-                    keys, _, terms = values(first, second, third)
+                    model = values(first, second, third)
                     continue
-                asked = unpack_keys(first)
-                found = np.repeat(terms[np.searchsorted(keys, asked)], unpack_counts(second))
-                at = unpack_counts(third, "<u2")
-                yield block, None, None, np.bincount(at, weights=found).astype("<f8").tobytes()
+                at = np.repeat(np.searchsorted(model[0], unpack_keys(first)), unpack_counts(second))
+                flags = np.unpackbits(np.frombuffer(fourth, np.uint8)).astype(bool)
+                yield block, None, None, _losses(at, unpack_counts(third, "<u2").astype(np.int64), *model, flags, scale).astype("<f8").tobytes()
 
     def add_up(read):
         for _, rows in _groups(read):
@@ -242,26 +249,28 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
                     ids, sizes = own, np.frombuffer(n_tokens, "<i8")
                 if len(part) > len(sums):
                     sums = np.concatenate([sums, np.zeros(len(part) - len(sums))])
-                sums[: len(part)] += part
+                sums[: len(part)] += part  # some parts are padded to whole bytes of flags
             for key, size, total in zip(ids, sizes.tolist(), sums.tolist()):
                 yield key, size, total / size
 
-    request = f"shard int, block long, ids array<{kind}>, x binary, y binary, z binary"
-    asked = stash(map_rows(docs.select(id_col, text_col), request, ask, chunk=64))
+    request = f"shard int, block long, ids array<{kind}>, x binary, y binary, z binary, w binary"
+    asked = stash(map_rows(docs, request, ask, chunk=64))
     offered = map_rows(model.select("shard", "keys", "t", "b"), request, offer, chunk=1)
-    met = asked.where("shard >= 0").unionByName(offered).repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    met = asked.where("shard >= 0").unionByName(offered).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block")
     parts = map_rows(met, f"block long, ids array<{kind}>, n binary, part binary", answer, chunk=64)
     own = asked.where("shard < 0").select("block", "ids", F.col("x").alias("n"), F.col("y").alias("part"))
     together = own.unionByName(parts).repartition("block").sortWithinPartitions("block")
-    return map_rows(together, f"`{id_col}` {kind}, n_tokens long, score double", add_up)
+    return map_rows(together, f"id {kind}, n_tokens long, score double", add_up).withColumnRenamed("id", id_col)
 
 
-def flag_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(all columns of ``docs``, _target): whether the id is in the one-column table of target ids.
+def flag_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", flag_col: str = "_target", broadcast_bytes: int = 32_000_000) -> DataFrame:
+    """(all columns of ``docs``, ``flag_col``): whether the id is in the one-column table of target ids. A column of that name is replaced.
 
-    The ids are broadcast where they are counted to be ``broadcast_rows`` (16 MB) at most, else joined by a shuffle.
+    The ids are broadcast where they are counted to hold ``broadcast_bytes`` at most, else joined by a shuffle.
     """
-    ids = target_ids.select(F.col(target_ids.columns[0]).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    small = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    right = ids.withColumn("_target", F.lit(True))
-    return docs.join(F.broadcast(right) if small else right, docs[id_col] == F.col("_id"), "left").drop("_id").withColumn("_target", F.coalesce("_target", F.lit(False)))
+    ids = pick(target_ids, target_ids.columns[0]).where("c0 IS NOT NULL").distinct()
+    size = ids.agg(F.sum(F.octet_length(F.col("c0").cast("string")) + F.lit(16))).first()[0] or 0
+    right = ids.select(F.col("c0").alias("id"), F.lit(True).alias("flag"))
+    joined = renamed(docs).join(F.broadcast(right) if size <= broadcast_bytes else right, F.col(f"x{docs.columns.index(id_col)}") == F.col("id"), "left")
+    kept = [i for i, c in enumerate(docs.columns) if c != flag_col]
+    return joined.select(*(f"x{i}" for i in kept), F.coalesce("flag", F.lit(False))).toDF(*(docs.columns[i] for i in kept), flag_col)

@@ -13,7 +13,7 @@ from brindle.llm.mixing import mix_sources
 from brindle.llm.multiset_hash import neighbour_fingerprints
 from brindle.llm.packing import pack_documents
 from brindle.llm.pii import BASE_KINDS, find_pii
-from brindle.llm.quality import quality_bands
+from brindle.llm.quality import fit_bands, good_ids, quality_bands
 from brindle.llm.simhash import simhash_components
 from brindle.llm.warc import archive_folder, assemble, read_records, write_warc
 
@@ -23,8 +23,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base measures and compression-band verdict of every document."""
-    return quality_bands(_table(spark, sf_dir, "documents"))
+    """Base measures and compression-band verdict of every document, by bands fitted to the documents labelled as good."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_bands(docs, bands=fit_bands(docs, good_ids(_table(spark, sf_dir, "labels"))))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(joined(F.filter("spans", lambda s: s.base)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.transform("spans", lambda s: F.round(s.score, 3)).alias("scores"),
     )
 
 

@@ -132,7 +132,10 @@ def test_scores(spark, hot, tokens):
     v, n = len(set(one[0]) | set(one[1])), [sum(c.values()) for c in pair]
     a = [0.1 * x / sum(n) for x in n]
     for i, e in ev.items():
-        loss = lambda m: -sum(math.log((pair[m][x] + a[m]) / (one[m][x[0]] + a[m] * v)) for x in e) / len(e)
+        mine = i % 3 == 0
+        own, first = collections.Counter(e), collections.Counter(x for x, _ in e)
+        # a document's own occurrences do not count
+        loss = lambda m: -sum(math.log((pair[m][x] - own[x] * (m == mine) + a[m]) / (one[m][x[0]] - first[x[0]] * (m == mine) + a[m] * v)) for x in e) / len(e)
         assert got[i][0] == len(e) and got[i][1] == pytest.approx(loss(1) - loss(0), abs=1e-9)
 
 
@@ -142,6 +145,18 @@ def test_scores_odd(spark):
     flagged = lmscore.flag_target(frame(spark, [(None, "s", "a"), (1, "s", "a"), (1, "s", "a")]), spark.createDataFrame([(1,), (None,)], "doc_id long"))
     assert sorted(r._target for r in flagged.collect()) == [False, True, True]
     assert lmscore.cross_entropy_difference(flagged, "_target").count() == 3
+    odd = spark.createDataFrame([(1, "a b", 5), (2, "c " * 50_000, 6)], ["d.id", "te.xt", "_target"])
+    flagged = lmscore.flag_target(odd, spark.createDataFrame([(2,)], ["_target"]), "d.id")
+    assert flagged.columns == ["d.id", "te.xt", "_target"]
+    assert {r[0]: r.n_tokens for r in lmscore.cross_entropy_difference(flagged, "_target", "d.id", "te.xt").collect()} == {1: 3, 2: 50_001}
+
+
+def test_a_copy_elsewhere_shows(spark):
+    """Own counts are taken out, so a text scores like the target when a copy of it is there, not because it is there itself."""
+    rows = [(i, "s", words(60, 100 + i)) for i in range(30)] + [(30, "s", words(60, 100))]
+    docs = frame(spark, rows).withColumn("good", F.col("doc_id") < 10)
+    got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(docs, "good").collect()}
+    assert got[30] < min(got[i] for i in range(10, 30)) and got[0] > max(got[i] for i in range(1, 10))
 
 
 # --- SimHash -------------------------------------------------------------------------------------------------------------

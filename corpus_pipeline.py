@@ -13,32 +13,43 @@ from brindle.llm.common import stash
 from brindle.llm.lines import dedup_lines
 from brindle.llm.mixing import mix_sources, repeat_rows
 from brindle.llm.packing import pack_documents
-from brindle.llm.quality import filter_quality
+from brindle.llm.quality import filter_quality, fit_bands, good_ids
 from brindle.llm.simhash import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the compression bands reject go."""
-    return filter_quality(docs)
+    """Documents that the base rules or the compression bands reject go; the bands are fitted to those labelled as good.
+
+    Null and empty texts go, too; rows that repeat stay or go together, and an empty table stays empty.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_quality(docs, bands=fit_bands(docs, good_ids(labels)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, alike or nearly, go from the texts; ``n_chars`` follows."""
+    """Lines that repeat an earlier one, alike or nearly, go from the texts; ``n_chars`` follows. No row goes.
+
+    The earlier line is that of the smaller id, null ids last, then text hash and line number; rows that repeat id and text
+    keep each other's lines. Null texts and an empty table stay as they are.
+    """
     return dedup_lines(docs).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles) stays: the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles) stays: the one with the smallest id.
+
+    Null ids count as the last, then the text hash decides; null and empty texts are one group.
+    """
     return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words as often as complete epochs say."""
     return repeat_rows(mix_sources(docs, keep_row=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences."""
+    """Token pieces of all documents, packed into sequences; repeated rows are packed one by one, null texts are one id."""
     return pack_documents(docs)
 
 

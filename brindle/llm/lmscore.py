@@ -203,7 +203,7 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
     known = docs.sparkSession.sparkContext.broadcast((hot_keys[order], *(x[order] for x in hot_counts)))
 
     def ask(read):
-        """Requests to shards, and for shard -1 what is known of the block's documents already."""
+        """Requests to shards, and what is known of the block's documents already, which some shard hands on."""
         keys_known, target_known, other_known = known.value
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for block in _blocks(read, 1, block_tokens):
@@ -216,7 +216,7 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
             place = np.searchsorted(keys_known, keys)
             hit = np.zeros(len(keys), bool) if not len(keys_known) else keys_known[np.minimum(place, len(keys_known) - 1)] == keys
             sums = _losses(place[hit], at[hit], keys_known, target_known, other_known, flags, scale)
-            yield -1, number, [k for k, *_ in block], sizes.astype("<i8").tobytes(), sums.astype("<f8").tobytes(), None, None
+            yield (number + (number >> 32)) % shards, number, [k for k, *_ in block], sizes.astype("<i8").tobytes(), sums.astype("<f8").tobytes(), None, None
             keys, at = keys[~hit], at[~hit]
             for shard, s, e in _cuts(_by_shard(keys, shards)):
                 part = keys[s:e]
@@ -232,7 +232,10 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
     def answer(read):
         for shard, rows in _groups(read):
             model = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for _, block, _, first, second, third, fourth in rows:
+            for _, block, ids, first, second, third, fourth in rows:
+                if ids is not None:
+                    yield block, ids, first, second
+                    continue
                 if block < 0:
                     model = values(first, second, third)
                     continue
@@ -254,12 +257,11 @@ def cross_entropy_difference(docs: DataFrame, target_col: str, id_col: str = "do
                 yield key, size, total / size
 
     request = f"shard int, block long, ids array<{kind}>, x binary, y binary, z binary, w binary"
-    asked = stash(map_rows(docs, request, ask, chunk=64))
+    asked = map_rows(docs, request, ask, chunk=64)
     offered = map_rows(model.select("shard", "keys", "t", "b"), request, offer, chunk=1)
-    met = asked.where("shard >= 0").unionByName(offered).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block")
+    met = asked.unionByName(offered).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block")
     parts = map_rows(met, f"block long, ids array<{kind}>, n binary, part binary", answer, chunk=64)
-    own = asked.where("shard < 0").select("block", "ids", F.col("x").alias("n"), F.col("y").alias("part"))
-    together = own.unionByName(parts).repartition("block").sortWithinPartitions("block")
+    together = parts.repartition("block").sortWithinPartitions("block")
     return map_rows(together, f"id {kind}, n_tokens long, score double", add_up).withColumnRenamed("id", id_col)
 
 

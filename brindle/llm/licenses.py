@@ -1,18 +1,25 @@
 """License scans in DataFrame operations alone: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Statements are the lines of whole texts that hold one of the ``MARKS``, and the whole text of a file that has such a line.
-Their terms (runs of ASCII letters and digits in lower case) get TF-IDF weights; the inverse document frequency comes from
-the templates, and a term that no template has weighs as the rarest. A statement's license is that of the template with the
-greatest cosine, if it reaches ``threshold``. Statements are made distinct first, so a header that a third of the files
-share is scored once; the templates are a constant, and so is the size of what is broadcast.
-
-A file's own license is its best line's. A file whose whole text reaches ``file_threshold`` is a licence file: it also gives
-its directory a license. A file without an own license takes that of the nearest directory above it that has one: the
-distinct directories are exploded to their ancestors and joined to the directories that have a license.
-
-Defined results: null and empty texts have no statement; a null path inherits nothing. Ties between templates go to the
-name that comes first, ties between a directory's licence files to the greater score, then the smaller path. Repeated rows
-get equal results, one for each row.
+Units are the lines of whole texts, their blocks (adjacent lines between ones without a letter or digit, so that a header
+may wrap and carry comment marks), and whole texts. Their terms (runs of ASCII letters and digits in lower case) get TF-IDF
+weights; the inverse document frequency comes from the templates, and a term that no template has weighs as the rarest. A
+unit's license is that of the template with the greatest cosine, if it reaches the threshold; a single term says nothing. Templates are license texts,
+headers, titles and identifier tags; the templates are a constant, and so is the size of what is broadcast.
+
+Every text is looked at, but only units that can reach a threshold are scored: the cosine with a template is at most the
+root of the weight (squared) of the template's terms that a unit has, so a unit without any of a template's ``telling_terms``
+cannot reach it. Texts and units are made distinct first, so a header that a third of the files share is scored once.
+
+A file's own license is that of its best line or block. A licence file is one whose whole text reaches ``file_threshold``
+against a full license text, or one that is named as such (``LICENSE``, ``COPYING`` and the like) and has an own license; it
+also gives its directory a license. A file without an own license takes that of the nearest directory above it that has one:
+the distinct directories are exploded to their ancestors and joined to the directories that have a license.
+
+Defined results: null and empty texts have no unit; a null path inherits nothing and gives nothing, but a text's own license
+does not depend on its path. Rows that share a path and not the text are scanned one by one. Ties between templates go to the
+name that comes first (a license without its version gives way to any other), ties between a directory's licence files to the greater score, then the smaller path, then the name
+that comes first. Repeated rows get equal results, one for each row; an empty table gives an empty one. Columns besides the
+named are not read.
 """
 
 from __future__ import annotations
@@ -20,69 +27,196 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import stash
+from brindle.llm.common import pick, stash
+
+# --- fixed values: SPDX identifiers, and public texts, headers, titles and statements of these licenses ----------------
 
-#: SPDX identifiers and the statements that name or grant these licenses.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+    "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+    "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", "
+    "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+BSD_THREE = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+    "prior written permission."
+)
+BSD_REST = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+ISC_TEXT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and "
+    "this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+    "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+UNLICENSE_TEXT = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either "
+    "in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or "
+    "authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and "
+    "to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    "software under copyright law."
+)
+APACHE_HEADER = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+    "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+GPL_HEADER = (
+    "This program is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software "
+    "Foundation, either version {version} of the License, or (at your option) any later version."
+)
+GPL_NOTICE = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+    "PURPOSE. See the GNU {name} General Public License for more details."
+)
+MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+#: (license, full text)
+TEXTS = (
+    ("MIT", f"{MIT_GRANT} {MIT_REST}"),
+    ("BSD-2-Clause", f"{BSD_GRANT} {BSD_TWO} {BSD_REST}"),
+    ("BSD-3-Clause", f"{BSD_GRANT} {BSD_TWO} {BSD_THREE} {BSD_REST}"),
+    ("ISC", ISC_TEXT),
+    ("Unlicense", UNLICENSE_TEXT),
+)
+#: The GNU family: (license, name, version, date in the title)
+GNU = (
+    ("GPL-2.0", "", "2", "June 1991"),
+    ("GPL-3.0", "", "3", "29 June 2007"),
+    ("LGPL-2.1", "Lesser", "2.1", "February 1999"),
+    ("LGPL-3.0", "Lesser", "3", "29 June 2007"),
+    ("AGPL-3.0", "Affero", "3", "19 November 2007"),
+)
+#: (license, what a header, a title or a sentence says)
+STATEMENTS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. The ASF licenses this file to You under the Apache License, Version 2.0"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", BSD_GRANT),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0 Universal."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LicenseRef-GPL", "GNU GENERAL PUBLIC LICENSE"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("MIT", MIT_GRANT),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: A line is a statement when its lower case has one of these.
-MARKS = ("licens", "licenc", "redistribution", "permission", "public domain")
+TAGS = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "EPL-2.0", "BSL-1.0", "Zlib")
+GNU_TAGS = ("", "-only", "-or-later")
+
+# --- end of the fixed values ---------------------------------------------------------------------------------------------
+
+
+def _templates() -> Iterable[tuple[str, bool, str]]:
+    for name, text in TEXTS:
+        yield name, True, text
+    yield from ((name, False, text) for name, text in STATEMENTS)
+    yield "Apache-2.0", False, APACHE_HEADER
+    yield "MPL-2.0", False, MPL_HEADER
+    for tag in TAGS:
+        yield tag, False, f"SPDX-License-Identifier: {tag}"
+    for tag, name, version, date in GNU:
+        header, notice = (x.format(colon=":", name=name, version=version) for x in (GPL_HEADER, GPL_NOTICE))
+        yield tag, False, header
+        yield tag, False, f"{header} {notice}"
+        yield tag, False, f"GNU {name} General Public License Version {version}"
+        yield tag, False, f"GNU {name} General Public License Version {version}, {date}"
+        yield tag, False, f"This work is licensed under the GNU {name} General Public License, version {version}."
+        yield from ((tag, False, f"SPDX-License-Identifier: {tag}{end}") for end in GNU_TAGS)
+
+
+#: (license, whether it is a full license text, text)
+TEMPLATES: tuple[tuple[str, bool, str], ...] = tuple(_templates())
 TERM = "[a-z0-9]+"
+#: What separates blocks: line ends with lines between that have neither letter nor digit of ASCII.
+BETWEEN_BLOCKS = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([-._][^/]*)?$"
 
 
-def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """(rows (template, license, term, unit weight), inverse document frequency by term, that of unknown terms)."""
-    terms = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
+def template_weights(templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> tuple[list[tuple[int, str, bool, str, float]], dict[str, float], float]:
+    """(rows (template, license, full text?, term, unit weight), inverse document frequency by term, that of unknown terms)."""
+    terms = [Counter(re.findall(TERM, text.lower())) for *_, text in templates]
     spread = Counter(t for c in terms for t in c)
     idf = {t: 1.0 + math.log((1 + len(templates)) / (1 + n)) for t, n in sorted(spread.items())}
     rows = []
-    for i, ((name, _), counts) in enumerate(zip(templates, terms)):
+    for i, ((name, full, _), counts) in enumerate(zip(templates, terms)):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
-        rows += [(i, name, t, n * idf[t] / norm) for t, n in sorted(counts.items())]
+        rows += [(i, name, full, t, n * idf[t] / norm) for t, n in sorted(counts.items())]
     return rows, idf, 1.0 + math.log(1 + len(templates))
 
 
-def _marked(text: Column) -> Column:
-    low = F.lower(text)
-    found = F.contains(low, F.lit(MARKS[0]))
-    for m in MARKS[1:]:
-        found = found | F.contains(low, F.lit(m))
-    return found
+def telling_terms(threshold: float, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> list[str]:
+    """Terms of which a unit has one at least if its cosine with any template reaches the threshold.
+
+    A template's lightest terms are left out as long as a unit that has all of them, and no others, stays below it.
+    """
+    rows, _, _ = template_weights(templates)
+    own: dict[int, list[tuple[float, str]]] = {}
+    for i, _, _, term, weight in rows:
+        own.setdefault(i, []).append((weight, term))
+    found = set()
+    for weights in own.values():
+        left = threshold * threshold - 1e-6
+        for weight, term in sorted(weights):
+            left -= weight * weight
+            if left <= 0:
+                found.add(term)
+    return sorted(found)
+
 
+def terms_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
-def score_statements(statements: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """Distinct statements (sid, s) -> (sid, license, score): the best template of each that shares a term with one."""
+
+def score_statements(statements: DataFrame, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> DataFrame:
+    """Distinct statements (sid, s) -> (sid, license, score, file_license, file_score): the best of all templates that share
+    a term with one, and the best of the full texts."""
     rows, idf, unknown = template_weights(templates)
     spark = statements.sparkSession
-    values = lambda lines: ", ".join(lines)
-    weights = spark.sql(f"SELECT * FROM VALUES {values(f"({i}, '{n}', '{t}', {w!r}D)" for i, n, t, w in rows)} AS t(template, license, term, weight)")
-    known = spark.sql(f"SELECT * FROM VALUES {values(f"('{t}', {w!r}D)" for t, w in idf.items())} AS t(term, idf)")
-    terms = statements.select("sid", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).alias("n"))
+    listed = lambda names, lines: spark.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS t({names})")
+    weights = listed("template, license, full, term, weight", (f"({i}, '{n}', {str(f).lower()}, '{t}', {w!r}D)" for i, n, f, t, w in rows))
+    known = listed("term, idf", (f"('{t}', {w!r}D)" for t, w in idf.items()))
+    terms = statements.select("sid", F.explode(terms_of(F.col("s"))).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).alias("n"))
     terms = terms.join(F.broadcast(known), "term", "left").select("sid", "term", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("w"))
-    norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    best = dots.join(norms, "sid").select("sid", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    return best.groupBy("sid").agg(F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("b")).select("sid", "b.license", (-F.col("b.m")).alias("score"))
+    norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count(F.lit(1)).alias("n_terms")).where("n_terms > 1")
+    dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "template", "license", "full").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    each = dots.join(norms, "sid").select("sid", "license", "full", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    best = F.struct((-F.col("score")).alias("m"), "license")
+    found = each.groupBy("sid").agg(F.min(best).alias("b"), F.min(F.when(F.col("full"), best)).alias("f"))
+    return found.select("sid", "b.license", (-F.col("b.m")).alias("score"), F.col("f.license").alias("file_license"), (-F.col("f.m")).alias("file_score"))
 
 
 def parent(path: Column) -> Column:
@@ -90,34 +224,38 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", keys: tuple[str, ...] = (), threshold: float = 0.6, file_threshold: float = 0.5, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", keys: tuple[str, ...] = (), threshold: float = 0.6, file_threshold: float = 0.75, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> DataFrame:
     """One row per input row: ``keys``, path, own_license, own_score, licence_file, license and inherited_from (a directory)."""
-    names = [F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]
-    ids = [f"key{i}" for i in range(len(keys))]
-    table = files.select(*names, F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    # the few texts with a mark are stored once; from here on a statement goes by the digest of its text
-    marked = stash(table.where(_marked(F.col("text"))).select("path", "text"))
-    lines = marked.select("path", F.explode(F.array_distinct(F.filter(F.split("text", "\n", -1), _marked))).alias("s"), F.lit(False).alias("whole"))
-    units = lines.unionByName(marked.select("path", F.col("text").alias("s"), F.lit(True).alias("whole"))).withColumn("sid", F.md5("s"))
-    scores = score_statements(units.select("sid", "s").dropDuplicates(["sid"]), templates)
-    scored = units.select("path", "sid", "whole").join(scores, "sid").where(F.col("score") >= F.when(F.col("whole"), F.lit(file_threshold)).otherwise(F.lit(threshold)))
-    best = F.min(F.when(~F.col("whole"), F.struct((-F.col("score")).alias("m"), "license")))
-    as_file = F.min(F.when(F.col("whole"), F.struct((-F.col("score")).alias("m"), "license")))
-    own = scored.groupBy("path").agg(best.alias("b"), as_file.alias("f")).select("path", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("own_score"), F.col("f.license").alias("file_license"), (-F.col("f.m")).alias("file_score"))
-
-    given = own.where("file_license IS NOT NULL").select(parent(F.col("path")).alias("from"), F.struct((-F.col("file_score")).alias("m"), "path", "file_license").alias("g"))
-    given = given.groupBy("from").agg(F.min("g").alias("g")).select("from", F.col("g.file_license").alias("license"))
+    ids = [f"c{i + 2}" for i in range(len(keys))]
+    table = pick(files, path_col, text_col, *keys).withColumnsRenamed({"c0": "path", "c1": "text"}).withColumn("tid", F.md5("text"))
+    telling = F.array(*map(F.lit, telling_terms(min(threshold, file_threshold), templates)))
+    may_reach = lambda s: F.arrays_overlap(terms_of(s), telling)
+    # the distinct texts that may reach a threshold are stored once; from here on units go by the digests of their texts
+    marked = stash(table.where(F.col("text").isNotNull() & may_reach(F.col("text"))).select("tid", "text").dropDuplicates(["tid"]))
+    parts = F.array_distinct(F.concat(F.split("text", "\n", -1), F.split("text", BETWEEN_BLOCKS, -1)))
+    lines = marked.select("tid", F.explode(parts).alias("s")).where(may_reach(F.col("s"))).select("tid", "s", F.lit(False).alias("whole"))
+    units = stash(lines.unionByName(marked.select("tid", F.col("text").alias("s"), F.lit(True).alias("whole"))).withColumn("sid", F.md5("s")))
+    scores = stash(score_statements(units.select("sid", "s").dropDuplicates(["sid"]), templates))
+    scored = units.select("tid", "sid", "whole").join(scores, "sid")
+    vague = F.startswith(F.col("license"), F.lit("LicenseRef-"))
+    best = F.min(F.when(~F.col("whole") & (F.col("score") >= threshold), F.struct(vague.alias("vague"), (-F.col("score")).alias("m"), "license")))
+    as_file = F.min(F.when(F.col("whole") & (F.col("file_score") >= file_threshold), F.struct((-F.col("file_score")).alias("m"), F.col("file_license").alias("license"))))
+    of_text = scored.groupBy("tid").agg(best.alias("b"), as_file.alias("f"))
+    own = stash(of_text.select("tid", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("own_score"), F.col("f.license").alias("text_license"), (-F.col("f.m")).alias("text_score")).where("own_license IS NOT NULL OR text_license IS NOT NULL"))
+
+    named = F.coalesce(F.col("path").rlike(FILE_NAMES), F.lit(False))
+    narrow = table.select(*ids, "path", parent(F.col("path")).alias("dir"), "tid")
+    licensed = narrow.join(own, "tid", "left").withColumn("file_license", F.coalesce("text_license", F.when(named, F.col("own_license")))).withColumn("file_score", F.when(F.col("text_license").isNotNull(), F.col("text_score")).otherwise(F.col("own_score")))
+    given = licensed.where("file_license IS NOT NULL AND path IS NOT NULL").groupBy(F.col("dir").alias("from")).agg(F.min(F.struct((-F.col("file_score")).alias("m"), "path", "file_license")).alias("g"))
+    given = given.select("from", F.col("g.file_license").alias("license"))
     dirs = table.where("path IS NOT NULL").select(parent(F.col("path")).alias("dir")).distinct()
-    parts = F.split("dir", "/", -1)
-    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("from"))
+    steps = F.split("dir", "/", -1)
+    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("from"))
     nearest = above.join(given, "from").groupBy("dir").agg(F.max(F.struct(F.length("from").alias("n"), "from", "license")).alias("x")).select("dir", F.col("x.from").alias("from"), F.col("x.license").alias("inherited"))
-
-    narrow = table.select(*ids, "path", parent(F.col("path")).alias("dir"))
-    joined = narrow.join(own, "path", "left").join(nearest, "dir", "left")
     none = F.col("own_license").isNull()
-    return joined.select(
+    return licensed.join(nearest, "dir", "left").select(
         *(F.col(i).alias(k) for i, k in zip(ids, keys)),
-        "path",
+        F.col("path").alias(path_col),
         "own_license",
         "own_score",
         F.col("file_license").isNotNull().alias("licence_file"),

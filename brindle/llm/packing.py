@@ -294,6 +294,11 @@ def _pack_open(open_pieces: DataFrame, capacity: int, plan: Evolution, level: in
     state = map_rows(items.select("shard", "lengths"), STATE, first, chunk=16)
     for turn in range(plan.rounds):
         state = stash(map_rows(state.repartition("shard", "island").sortWithinPartitions("shard", "island", "elite"), STATE, advance(turn), chunk=16))
+        # shards at their lower bound on an island are done; the rounds end with the last of the others
+        island = state.where("NOT elite").groupBy("shard").agg(F.min("n_bins").alias("n_bins"))
+        sums = items.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+        if not island.join(sums, "shard").where(F.col("n_bins") > F.ceil(F.col("total") / capacity)).limit(1).count():
+            break
     best = state.where("NOT elite").groupBy("shard").agg(F.min_by("groups", F.struct("n_bins", "fill", "island")).alias("groups"))
 
     def lay_out(read):

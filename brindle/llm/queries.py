@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import stash
-from brindle.llm.licenses import MARKS, scan_licenses, template_weights
+from brindle.llm.licenses import TEMPLATES, scan_licenses
 from brindle.llm.lines import dedup_lines
 from brindle.llm.lmscore import cross_entropy_difference, flag_target
 from brindle.llm.mixing import mix_sources
@@ -75,6 +75,7 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         fields["original-page-id"].cast("long").alias("refers_to"),
+        *(F.struct(*(F.col(f"{kind}.{c}") for c in ("record_id", "type", "target_uri", "date", "payload_bytes"))).alias(kind) for kind in ("request", "response", "metadata")),
     )
 
 
@@ -120,43 +121,50 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License of every document, own or inherited. Documents have no paths, so they get some: /source/lang/file for every
-    tenth, /source/lang/sixteenth/file for the others."""
+    """License of every document, own or inherited. Documents have no paths, so they get some: /source/lang/LICENSE-id for every
+    tenth, /source/lang/sixteenth/id for the others."""
     docs = _table(spark, sf_dir, "documents")
-    leaf = F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("/d"), (F.col("doc_id") % 16).cast("string")))
-    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), leaf, F.lit("/"), F.col("doc_id").cast("string"))
+    leaf = F.when(F.col("doc_id") % 10 == 0, F.lit("/LICENSE-")).otherwise(F.concat(F.lit("/d"), (F.col("doc_id") % 16).cast("string"), F.lit("/")))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), leaf, F.col("doc_id").cast("string"))
     return scan_licenses(docs.select("doc_id", "text", path.alias("path")), keys=("doc_id",))
 
 
 def _license_sql() -> str:
-    rows, idf, unknown = template_weights()
-    weights = ", ".join(f"({i}, '{n}', '{t}', CAST({w!r} AS DOUBLE))" for i, n, t, w in rows)
-    known = ", ".join(f"('{t}', CAST({w!r} AS DOUBLE))" for t, w in idf.items())
-    marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{m}')" for m in MARKS) + ")"
+    """All lines, blocks and texts scored, with weights that SQL makes of the templates' texts."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(name)}, {str(full).lower()}, {quoted(text)})" for i, (name, full, text) in enumerate(TEMPLATES))
     return f"""
-WITH w(template, license, term, weight) AS (VALUES {weights}), i(term, idf) AS (VALUES {known}),
+WITH templates(template, license, is_full, body) AS (VALUES {values}),
+tt AS (SELECT template, license, is_full, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM templates),
+tc AS (SELECT template, license, is_full, term, count(*) AS n FROM tt GROUP BY ALL),
+size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM templates),
+i AS (SELECT term, 1.0::DOUBLE + ln((1 + (SELECT n FROM size)) / (1 + count(*))) AS idf FROM tc GROUP BY term),
+tn AS (SELECT template, sqrt(sum((tc.n * idf) * (tc.n * idf))) AS norm FROM tc JOIN i USING (term) GROUP BY template),
+w AS (SELECT tc.template, license, is_full, tc.term, tc.n * idf / norm AS weight FROM tc JOIN i USING (term) JOIN tn ON tc.template = tn.template),
 t AS (SELECT doc_id, text, '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none')
-             || CASE WHEN doc_id % 10 = 0 THEN '' ELSE '/d' || CAST(doc_id % 16 AS VARCHAR) END || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents),
-m AS (SELECT DISTINCT path, text FROM t WHERE {marked("text")}),
-l AS (SELECT path, unnest(string_split(text, chr(10))) AS s FROM m),
-u AS (SELECT DISTINCT path, s, false AS whole FROM l WHERE {marked("s")} UNION ALL SELECT path, text, true FROM m),
+             || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE-' ELSE '/d' || CAST(doc_id % 16 AS VARCHAR) || '/' END || CAST(doc_id AS VARCHAR) AS path FROM documents),
+m AS (SELECT DISTINCT text FROM t WHERE text IS NOT NULL),
+l AS (SELECT text, unnest(string_split(text, chr(10))) AS s FROM m UNION ALL SELECT text, unnest(string_split_regex(text, '\n(?:[^A-Za-z0-9\n]*\n)+')) FROM m),
+u AS (SELECT DISTINCT text, s, false AS whole FROM l UNION ALL SELECT text, text, true FROM m),
 d AS (SELECT DISTINCT s FROM u),
 e AS (SELECT s, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM d),
-n AS (SELECT s, e.term, count(*) * coalesce(any_value(idf), CAST({unknown!r} AS DOUBLE)) AS w FROM e LEFT JOIN i ON e.term = i.term GROUP BY s, e.term),
-norms AS (SELECT s, sqrt(sum(w * w)) AS norm FROM n GROUP BY s),
-dots AS (SELECT s, template, license, sum(n.w * weight) AS dot FROM n JOIN w ON n.term = w.term GROUP BY s, template, license),
-c AS (SELECT dots.s, license, round(dot / norm, 9) AS score FROM dots JOIN norms ON dots.s = norms.s),
-b AS (SELECT s, license, score FROM c QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, license) = 1),
-k AS (SELECT path, whole, license, score FROM u JOIN b ON u.s = b.s WHERE score >= CASE WHEN whole THEN 0.5 ELSE 0.6 END),
-o AS (SELECT path, license, score FROM k WHERE NOT whole QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
-f AS (SELECT path, license, score, regexp_replace(path, '/[^/]*$', '') AS dir FROM k WHERE whole),
-g AS (SELECT dir, license FROM f QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
-x AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM t WHERE path IS NOT NULL),
-y AS (SELECT x.dir, g.dir AS source_dir, g.license FROM x JOIN g ON x.dir = g.dir OR starts_with(x.dir, g.dir || '/')
-      QUALIFY row_number() OVER (PARTITION BY x.dir ORDER BY length(g.dir) DESC) = 1)
-SELECT t.doc_id, t.path, o.license AS own_license, o.score AS own_score, f.path IS NOT NULL AS licence_file,
-       coalesce(o.license, y.license) AS license, CASE WHEN o.license IS NULL THEN y.source_dir END AS inherited_from
-FROM t LEFT JOIN o ON t.path = o.path LEFT JOIN f ON t.path = f.path LEFT JOIN y ON regexp_replace(t.path, '/[^/]*$', '') = y.dir
+n AS (SELECT s, e.term, count(*) * coalesce(any_value(idf), 1.0::DOUBLE + ln(1 + (SELECT n FROM size))) AS w FROM e LEFT JOIN i ON e.term = i.term GROUP BY s, e.term),
+norms AS (SELECT s, sqrt(sum(w * w)) AS norm FROM n GROUP BY s HAVING count(*) > 1),
+dots AS (SELECT s, template, license, is_full, sum(n.w * weight) AS dot FROM n JOIN w ON n.term = w.term GROUP BY s, template, license, is_full),
+c AS (SELECT dots.s, license, is_full, round(dot / norm, 9) AS score FROM dots JOIN norms ON dots.s = norms.s),
+o AS (SELECT text, license, score FROM u JOIN c ON u.s = c.s WHERE NOT whole AND score >= 0.6 QUALIFY row_number() OVER (PARTITION BY text ORDER BY starts_with(license, 'LicenseRef-'), score DESC, license) = 1),
+x AS (SELECT text, license, score FROM u JOIN c ON u.s = c.s WHERE whole AND is_full AND score >= 0.75 QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, license) = 1),
+r AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, o.license AS own_license, o.score AS own_score,
+             coalesce(x.license, CASE WHEN regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|unlicense)([-._][^/]*)?$') THEN o.license END) AS file_license,
+             CASE WHEN x.license IS NOT NULL THEN x.score ELSE o.score END AS file_score
+      FROM t LEFT JOIN o ON t.text = o.text LEFT JOIN x ON t.text = x.text),
+g AS (SELECT dir, file_license FROM r WHERE file_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY file_score DESC, path, file_license) = 1),
+q AS (SELECT DISTINCT dir FROM r),
+y AS (SELECT q.dir, g.dir AS source_dir, g.file_license FROM q JOIN g ON q.dir = g.dir OR starts_with(q.dir, g.dir || '/')
+      QUALIFY row_number() OVER (PARTITION BY q.dir ORDER BY length(g.dir) DESC) = 1)
+SELECT doc_id, path, own_license, own_score, r.file_license IS NOT NULL AS licence_file,
+       coalesce(own_license, y.file_license) AS license, CASE WHEN own_license IS NULL THEN y.source_dir END AS inherited_from
+FROM r LEFT JOIN y ON r.dir = y.dir
 """
 
 

@@ -9,6 +9,10 @@ separator, so they land wherever Spark can write; with compression, the file is
 archives by Spark's binary reader and follows ``Content-Length``, so payloads may hold anything, and files of one or many
 gzip members are inflated as they are walked. A file is held compressed by one task: keep files under ``maxLength`` (2 GB).
 
+Archives may be damaged: bytes after the last gzip member are passed over, a record whose length is missing or no number, or
+that ends before its length, becomes a row of type ``damaged`` with what could be read, and reading goes on at the next
+record head or ends with the file. So one bad file neither fails the job nor loses its records without a trace.
+
 Defined results: a null payload counts as empty; empty payloads are equal and so revisit each other. Of rows with equal
 payloads those with the smallest id are responses, all others revisit that id; rows that repeat an id and payload become
 records alike. Captures without a request or metadata record have null there; of several, the one with the smallest record
@@ -18,6 +22,7 @@ id is taken. Columns besides the ones named are not read.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import uuid
 import zlib
@@ -104,31 +109,43 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 class _Source:
-    """Reads bytes from a buffer, inflating gzip members one after another if it is compressed."""
+    """Reads bytes from a buffer, inflating gzip members one after another if it is compressed. What cannot be inflated ends it."""
 
     def __init__(self, data: bytes, step: int = 1 << 16):
-        self.data, self.at, self.step, self.held = memoryview(data), 0, step, bytearray()
+        self.data, self.at, self.step, self.held, self.broken = memoryview(data), 0, step, bytearray(), False
         self.inflate = zlib.decompressobj(31) if bytes(data[:2]) == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
-        while self.at < len(self.data):
-            part = self.data[self.at : self.at + self.step]
+        while self.at < len(self.data) and not self.broken:
+            part = bytes(self.data[self.at : self.at + self.step])
             self.at += len(part)
             if not self.inflate:
                 self.held += part
                 return True
-            out = self.inflate.decompress(part)
-            while self.inflate.eof and self.inflate.unused_data:
-                rest = self.inflate.unused_data
-                self.inflate = zlib.decompressobj(31)
-                out += self.inflate.decompress(rest)
-            if self.inflate.eof and self.at < len(self.data):
-                self.inflate = zlib.decompressobj(31)
-            if out:
-                self.held += out
+            before = len(self.held)
+            while part and not self.broken:
+                if self.inflate.eof:
+                    if not part.startswith(b"\x1f"):
+                        self.broken = True  # no further member
+                        break
+                    self.inflate = zlib.decompressobj(31)
+                saved = self.inflate.copy()
+                try:
+                    self.held += self.inflate.decompress(part)
+                except zlib.error:
+                    self.broken = True
+                    self._rescue(saved, part)
+                part = self.inflate.unused_data
+            if len(self.held) > before:
                 return True
         return False
 
+    def _rescue(self, inflate, part: bytes) -> None:
+        """What comes before the damage, a few bytes at a time."""
+        with contextlib.suppress(zlib.error):
+            for i in range(0, len(part), 8):
+                self.held += inflate.decompress(part[i : i + 8])
+
     def until(self, mark: bytes) -> bytes | None:
         """What comes before ``mark``, which is dropped; None at the end."""
         seen = 0
@@ -148,15 +165,21 @@ class _Source:
         return out
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers with lower-case names, block) of each record."""
+def parse_archive(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, bool]]:
+    """(headers with lower-case names, block, whether the record is whole) of each record."""
     source = _Source(data)
     while (head := source.until(b"\r\n\r\n")) is not None:
-        lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+        # where a length was wrong, the next record's head may come after other bytes
+        lines = head[max(0, head.rfind(b"WARC/1")) :].lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             continue
         headers = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
-        yield headers, source.take(int(dict(headers).get("content-length", 0)))
+        length = dict(headers).get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield headers, b"", False
+            continue
+        block = source.take(int(length))
+        yield headers, block, len(block) == int(length)
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True, glob: str = "part-*") -> DataFrame:
@@ -169,9 +192,9 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True, glob
 
     def records(read):
         for (data,) in read:
-            for headers, block in parse_archive(data):
+            for headers, block, whole in parse_archive(data):
                 one = dict(headers)
-                kind, payload, fields = one.get("warc-type"), block, None
+                kind, payload, fields = one.get("warc-type") if whole else "damaged", block, None
                 if one.get("content-type", "").startswith("application/http"):
                     payload = block.partition(b"\r\n\r\n")[2]
                 if kind == "metadata":

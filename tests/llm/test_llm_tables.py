@@ -103,7 +103,14 @@ def test_warc_members_and_directions(spark):
     import gzip
 
     for data in (one + two, gzip.compress(one) + gzip.compress(two)):
-        assert [(dict(h)["warc-record-id"], b) for h, b in warc.parse_archive(data)] == [("<r>", b"hi"), ("<q>", b"")]
+        assert [(dict(h)["warc-record-id"], b, whole) for h, b, whole in warc.parse_archive(data)] == [("<r>", b"hi", True), ("<q>", b"", True)]
+    bad = one.replace(b"Length: 2", b"Length: x")
+    seen = lambda data: [(dict(h).get("warc-record-id"), b, whole) for h, b, whole in warc.parse_archive(data)]
+    packed = gzip.compress(one)
+    assert seen(bad + two) == [("<r>", b"", False), ("<q>", b"", True)]
+    assert seen(packed + b"garbage") == [("<r>", b"hi", True)] and seen(packed + b"\x00" * 9) == [("<r>", b"hi", True)]
+    assert seen(one + one[:-5]) == [("<r>", b"hi", True), ("<r>", b"h", False)] and seen(b"") == [] and seen(b"no archive") == []
+    assert seen(gzip.compress(one + two)[:-20] + packed)[:1] == [("<r>", b"hi", True)] and seen(b"\x1f\x8bjunk") == []
     rows = [("<r>", "response", ["<q>"]), ("<q>", "request", [])]
     got = warc.assemble(spark.createDataFrame(rows, "record_id string, type string, concurrent_to array<string>")).first()
     assert got.request.record_id == "<q>" and got.metadata is None
@@ -257,6 +264,17 @@ def test_genetic_operators_keep_every_piece():
     assert population[0].rank() <= first.rank()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_evolution_beats_best_fit_decreasing(seed):
+    """Pieces about a third of a sequence, which best-fit decreasing puts together badly: evolution needs fewer sequences."""
+    lengths = np.random.default_rng(seed).integers(1100, 1600, 60).tolist()
+    first = packing.best_fit([], [], packing._decreasing(list(range(60)), lengths, np.random.default_rng(0), 0.0), lengths, 4096)
+    population = []
+    for turn in range(3):
+        population = packing.evolve(lengths, population, 4096, packing.Evolution(population=8, generations=120), np.random.default_rng(turn))
+    assert population[0].rank()[0] < len(first.bins)
+
+
 def test_packing(spark):
     rows = [(i, "s", words(n, i)) for i, n in enumerate([1, 3, 900, 3000, 20, 250, 5000, 40, 700])] + [(None, "s", None), (3, "s", ""), (3, "s", "")]
     out = packing.pack_documents(frame(spark, rows).repartition(3), capacity=512, plan=packing.Evolution(shard_pieces=8, islands=2, rounds=2)).collect()
@@ -287,18 +305,44 @@ def test_packing(spark):
 # --- licences ------------------------------------------------------------------------------------------------------------
 
 
+def wrapped(text, width=9, mark="# "):
+    w = text.split()
+    return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
 def test_licenses(spark):
+    mit, gpl = next(t for n, full, t in licenses.TEMPLATES if full and n == "MIT"), next(t for n, _, t in licenses.TEMPLATES if n == "GPL-2.0" and "hope" in t)
     rows = [
         ("/a/LICENSE", "Released under the MIT License."), ("/a/b/c/x.py", "some code of words"), ("/a/b/own.py", words(50) + "\nLicensed under the Apache License, Version 2.0."),
         ("/z/y", "plain"), (None, "plain"), (None, "Released under the MIT License."), ("/a/b/none", None), ("/ab/x", ""), ("/a/b/c/x.py", "some code of words"),
+        ("/s/x", "Released under the MIT License."), ("/s/y", "code"), ("/w/x.c", wrapped(gpl) + "\n\nint main()"), ("/w/notes", "Copyright 2020 Somebody\n\n" + wrapped(mit, 12, "")), ("/w/d/z", "code"),
+        ("/t/1", "// SPDX-License-Identifier: Apache-2.0\ncode"), ("/t/2", "# SPDX-License-Identifier: GPL-2.0-only"), ("/t/3", "/* SPDX-License-Identifier: MIT */"), ("/t/4", "GNU GENERAL PUBLIC LICENSE"),
+        ("/p", "MIT"), ("/p", "code"), ("/p", "The MIT License (MIT)"), ("/long", words(30_000) + "\nReleased under the MIT License.\n" + words(100)),
+        ("/t/5", wrapped(licenses.ISC_TEXT, 11, " * ")), ("/t/6", wrapped(licenses.APACHE_HEADER, 8, "// ")), ("/q/COPYING.txt", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + words(400)), ("/q/r", "x"),
     ]
     files = spark.createDataFrame([(i, p, t, "x") for i, (p, t) in enumerate(rows)], "k long, path string, text string, license string")
     got = {r.k: r for r in licenses.scan_licenses(files, keys=("k",)).collect()}
-    assert [(got[i].license, got[i].inherited_from) for i in range(9)] == [
-        ("MIT", None), ("MIT", "/a"), ("Apache-2.0", None), (None, None), (None, None), (None, None), ("MIT", "/a"), (None, None), ("MIT", "/a"),
+    assert [(got[i].license, got[i].inherited_from) for i in range(len(rows))] == [
+        ("MIT", None), ("MIT", "/a"), ("Apache-2.0", None), (None, None), (None, None), ("MIT", None), ("MIT", "/a"), (None, None), ("MIT", "/a"),
+        ("MIT", None), (None, None), ("GPL-2.0", None), ("MIT", None), ("MIT", "/w"),
+        ("Apache-2.0", None), ("GPL-2.0", None), ("MIT", None), ("LicenseRef-GPL", None),
+        (None, None), (None, None), ("MIT", None), ("MIT", None),
+        ("ISC", None), ("Apache-2.0", None), ("GPL-3.0", None), ("GPL-3.0", "/q"),
     ]
-    assert got[0].licence_file and not got[2].licence_file and got[2].own_score > 0.99
+    assert {i for i in got if got[i].licence_file} == {0, 12, 22, 24} and got[2].own_score > 0.99
     assert licenses.scan_licenses(files.where("false"), keys=("k",)).count() == 0
+    odd = spark.createDataFrame([(1, "/a/b", "Released under the MIT License.", "y")], ["the.key", "p.ath", "te.xt", "tid"])
+    assert [tuple(r) for r in licenses.scan_licenses(odd, "p.ath", "te.xt", ("the.key", "tid")).select("`the.key`", "tid", "license").collect()] == [(1, "y", "MIT")]
+
+
+def test_telling_terms_lose_nothing():
+    """Whatever reaches the threshold has a telling term: the best subsets without any stay below it."""
+    rows, _, _ = licenses.template_weights()
+    telling = set(licenses.telling_terms(0.6))
+    rest = collections.Counter()
+    for i, _, _, term, weight in rows:
+        rest[i] += weight * weight * (term not in telling)
+    assert all(math.sqrt(x) < 0.6 for x in rest.values())
 
 
 # --- pipeline ------------------------------------------------------------------------------------------------------------

@@ -6,9 +6,9 @@ weights; the inverse document frequency comes from the templates, and a term tha
 unit's license is that of the template with the greatest cosine, if it reaches the threshold; a single term says nothing. Templates are license texts,
 headers, titles and identifier tags; the templates are a constant, and so is the size of what is broadcast.
 
-Every text is looked at, but only units that can reach a threshold are scored: the cosine with a template is at most the
-root of the weight (squared) of the template's terms that a unit has, so a unit without any of a template's ``telling_terms``
-cannot reach it. Texts and units are made distinct first, so a header that a third of the files share is scored once.
+Every unit is looked at, but only those that can reach a threshold are scored: the cosine with a template is at most the root
+of the sum of the squared weights of the template's terms that a unit has, and at most what the unit's known terms can add up
+to over the length that its unknown terms alone give it, each with the greatest weight that a term has in any template. Texts and units are made distinct first, so a header that a third of the files share is scored once.
 
 A file's own license is that of its best line or block. A licence file is one whose whole text reaches ``file_threshold``
 against a full license text, or one that is named as such (``LICENSE``, ``COPYING`` and the like) and has an own license; it
@@ -126,7 +126,7 @@ STATEMENTS = (
     ("LicenseRef-GPL", "GNU GENERAL PUBLIC LICENSE"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
     ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
     ("MIT", MIT_GRANT),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
@@ -178,23 +178,29 @@ def template_weights(templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -
     return rows, idf, 1.0 + math.log(1 + len(templates))
 
 
-def telling_terms(threshold: float, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> list[str]:
-    """Terms of which a unit has one at least if its cosine with any template reaches the threshold.
+def most_of_terms(full: bool, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> dict[str, float]:
+    """The greatest squared weight of each term in any template, or in any full text alone."""
+    most: dict[str, float] = {}
+    for _, _, is_full, term, weight in template_weights(templates)[0]:
+        if is_full or not full:
+            most[term] = max(most.get(term, 0.0), weight * weight)
+    return most
 
-    A template's lightest terms are left out as long as a unit that has all of them, and no others, stays below it.
-    """
-    rows, _, _ = template_weights(templates)
-    own: dict[int, list[tuple[float, str]]] = {}
-    for i, _, _, term, weight in rows:
-        own.setdefault(i, []).append((weight, term))
-    found = set()
-    for weights in own.values():
-        left = threshold * threshold - 1e-6
-        for weight, term in sorted(weights):
-            left -= weight * weight
-            if left <= 0:
-                found.add(term)
-    return sorted(found)
+
+def may_reach(text: Column, threshold: float, full: bool, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> Column:
+    """Whether the terms of a text weigh enough for some template; exact, as it only leaves out what cannot reach the threshold."""
+    most = most_of_terms(full, templates)
+    _, idf, unknown = template_weights(templates)
+    table = lambda of: F.create_map(*(F.lit(x) for t in sorted(most) for x in (t, of(t))))
+    squares, parts = table(lambda t: most[t]), table(lambda t: idf[t] * math.sqrt(most[t]))
+    names = F.array(*map(F.lit, sorted(most)))
+    terms = terms_of(text)
+    known = F.array_intersect(terms, names)
+    # distinct terms that no template has, and at most so many occurrences of known ones
+    others = F.size(F.array_except(terms, F.array(*map(F.lit, sorted(idf)))))
+    dot = (F.size(terms) - others) * F.coalesce(F.array_max(F.transform(known, lambda t: parts[t])), F.lit(0.0))
+    enough = F.aggregate(known, F.lit(0.0), lambda total, term: total + squares[term]) >= threshold * threshold - 1e-6
+    return (dot >= (threshold - 1e-6) * unknown * F.sqrt(others)) & enough
 
 
 def terms_of(text: Column) -> Column:
@@ -228,13 +234,12 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     """One row per input row: ``keys``, path, own_license, own_score, licence_file, license and inherited_from (a directory)."""
     ids = [f"c{i + 2}" for i in range(len(keys))]
     table = pick(files, path_col, text_col, *keys).withColumnsRenamed({"c0": "path", "c1": "text"}).withColumn("tid", F.md5("text"))
-    telling = F.array(*map(F.lit, telling_terms(min(threshold, file_threshold), templates)))
-    may_reach = lambda s: F.arrays_overlap(terms_of(s), telling)
-    # the distinct texts that may reach a threshold are stored once; from here on units go by the digests of their texts
-    marked = stash(table.where(F.col("text").isNotNull() & may_reach(F.col("text"))).select("tid", "text").dropDuplicates(["tid"]))
+    texts = table.where("text IS NOT NULL").select("tid", "text")
     parts = F.array_distinct(F.concat(F.split("text", "\n", -1), F.split("text", BETWEEN_BLOCKS, -1)))
-    lines = marked.select("tid", F.explode(parts).alias("s")).where(may_reach(F.col("s"))).select("tid", "s", F.lit(False).alias("whole"))
-    units = stash(lines.unionByName(marked.select("tid", F.col("text").alias("s"), F.lit(True).alias("whole"))).withColumn("sid", F.md5("s")))
+    lines = texts.select("tid", F.explode(parts).alias("s")).where(may_reach(F.col("s"), threshold, False, templates)).withColumn("whole", F.lit(False))
+    whole = texts.where(may_reach(F.col("text"), file_threshold, True, templates)).select("tid", F.col("text").alias("s"), F.lit(True).alias("whole"))
+    # the few units that may reach a threshold are stored once; from here on they go by the digests of their texts
+    units = stash(lines.unionByName(whole).withColumn("sid", F.md5("s")).dropDuplicates(["tid", "sid", "whole"]))
     scores = stash(score_statements(units.select("sid", "s").dropDuplicates(["sid"]), templates))
     scored = units.select("tid", "sid", "whole").join(scores, "sid")
     vague = F.startswith(F.col("license"), F.lit("LicenseRef-"))

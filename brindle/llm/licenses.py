@@ -6,9 +6,10 @@ weights; the inverse document frequency comes from the templates, and a term tha
 unit's license is that of the template with the greatest cosine, if it reaches the threshold; a single term says nothing. Templates are license texts,
 headers, titles and identifier tags; the templates are a constant, and so is the size of what is broadcast.
 
-Every unit is looked at, but only those that can reach a threshold are scored: the cosine with a template is at most the root
-of the sum of the squared weights of the template's terms that a unit has, and at most what the unit's known terms can add up
-to over the length that its unknown terms alone give it, each with the greatest weight that a term has in any template. Texts and units are made distinct first, so a header that a third of the files share is scored once.
+Term frequencies count as 1 + ln n. Every unit is looked at, but only those that can reach a threshold are scored: the cosine
+with a template is at most the root of the sum of the squared weights of the template's terms that a unit has, so a unit
+without any of a template's ``telling_terms`` cannot reach it; these are all of its terms but some whose squared weights add
+up to less than the squared threshold (common words first, as that leaves fewer units to score). Texts and units are made distinct first, so a header that a third of the files share is scored once.
 
 A file's own license is that of its best line or block. A licence file is one whose whole text reaches ``file_threshold``
 against a full license text, or one that is named as such (``LICENSE``, ``COPYING`` and the like) and has an own license; it
@@ -137,6 +138,9 @@ STATEMENTS = (
 TAGS = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "EPL-2.0", "BSL-1.0", "Zlib")
 GNU_TAGS = ("", "-only", "-or-later")
 
+#: Common words and numbers, which are left out of the telling terms first; they decide the cost, never the result.
+COMMON = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "with", "as", "be", "by", "at", "or", "from", "an", "this", "was", "are", "not", "you", "any", "if", "its", "may", "no", "under", "0", "1", "2", "3", "4")
+
 # --- end of the fixed values ---------------------------------------------------------------------------------------------
 
 
@@ -173,34 +177,27 @@ def template_weights(templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -
     idf = {t: 1.0 + math.log((1 + len(templates)) / (1 + n)) for t, n in sorted(spread.items())}
     rows = []
     for i, ((name, full, _), counts) in enumerate(zip(templates, terms)):
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
-        rows += [(i, name, full, t, n * idf[t] / norm) for t, n in sorted(counts.items())]
+        own = {t: (1.0 + math.log(n)) * idf[t] for t, n in sorted(counts.items())}
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        rows += [(i, name, full, t, w / norm) for t, w in own.items()]
     return rows, idf, 1.0 + math.log(1 + len(templates))
 
 
-def most_of_terms(full: bool, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> dict[str, float]:
-    """The greatest squared weight of each term in any template, or in any full text alone."""
-    most: dict[str, float] = {}
-    for _, _, is_full, term, weight in template_weights(templates)[0]:
+def telling_terms(threshold: float, full: bool, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> list[str]:
+    """Terms of which a unit has one at least if its cosine with any template (or any full text) reaches the threshold."""
+    own: dict[int, list[tuple[int, float, str]]] = {}
+    place = {t: i for i, t in enumerate(COMMON)}
+    for i, _, is_full, term, weight in template_weights(templates)[0]:
         if is_full or not full:
-            most[term] = max(most.get(term, 0.0), weight * weight)
-    return most
-
-
-def may_reach(text: Column, threshold: float, full: bool, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> Column:
-    """Whether the terms of a text weigh enough for some template; exact, as it only leaves out what cannot reach the threshold."""
-    most = most_of_terms(full, templates)
-    _, idf, unknown = template_weights(templates)
-    table = lambda of: F.create_map(*(F.lit(x) for t in sorted(most) for x in (t, of(t))))
-    squares, parts = table(lambda t: most[t]), table(lambda t: idf[t] * math.sqrt(most[t]))
-    names = F.array(*map(F.lit, sorted(most)))
-    terms = terms_of(text)
-    known = F.array_intersect(terms, names)
-    # distinct terms that no template has, and at most so many occurrences of known ones
-    others = F.size(F.array_except(terms, F.array(*map(F.lit, sorted(idf)))))
-    dot = (F.size(terms) - others) * F.coalesce(F.array_max(F.transform(known, lambda t: parts[t])), F.lit(0.0))
-    enough = F.aggregate(known, F.lit(0.0), lambda total, term: total + squares[term]) >= threshold * threshold - 1e-6
-    return (dot >= (threshold - 1e-6) * unknown * F.sqrt(others)) & enough
+            own.setdefault(i, []).append((place.get(term, len(COMMON)), weight, term))
+    found = set()
+    for weights in own.values():
+        left = threshold * threshold - 1e-6
+        for _, weight, term in sorted(weights):
+            left -= weight * weight
+            if left <= 0:
+                found.add(term)
+    return sorted(found)
 
 
 def terms_of(text: Column) -> Column:
@@ -216,7 +213,7 @@ def score_statements(statements: DataFrame, templates: tuple[tuple[str, bool, st
     weights = listed("template, license, full, term, weight", (f"({i}, '{n}', {str(f).lower()}, '{t}', {w!r}D)" for i, n, f, t, w in rows))
     known = listed("term, idf", (f"('{t}', {w!r}D)" for t, w in idf.items()))
     terms = statements.select("sid", F.explode(terms_of(F.col("s"))).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).alias("n"))
-    terms = terms.join(F.broadcast(known), "term", "left").select("sid", "term", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("w"))
+    terms = terms.join(F.broadcast(known), "term", "left").select("sid", "term", ((F.lit(1.0) + F.log("n")) * F.coalesce("idf", F.lit(unknown))).alias("w"))
     norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count(F.lit(1)).alias("n_terms")).where("n_terms > 1")
     dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "template", "license", "full").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     each = dots.join(norms, "sid").select("sid", "license", "full", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
@@ -234,10 +231,12 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     """One row per input row: ``keys``, path, own_license, own_score, licence_file, license and inherited_from (a directory)."""
     ids = [f"c{i + 2}" for i in range(len(keys))]
     table = pick(files, path_col, text_col, *keys).withColumnsRenamed({"c0": "path", "c1": "text"}).withColumn("tid", F.md5("text"))
-    texts = table.where("text IS NOT NULL").select("tid", "text")
+    telling, of_texts = (F.array(*map(F.lit, telling_terms(x, full, templates))) for x, full in ((threshold, False), (file_threshold, True)))
+    has = lambda s, terms: F.arrays_overlap(terms_of(F.col(s)), terms)
+    texts = table.where(F.col("text").isNotNull() & (has("text", telling) | has("text", of_texts))).select("tid", "text")
     parts = F.array_distinct(F.concat(F.split("text", "\n", -1), F.split("text", BETWEEN_BLOCKS, -1)))
-    lines = texts.select("tid", F.explode(parts).alias("s")).where(may_reach(F.col("s"), threshold, False, templates)).withColumn("whole", F.lit(False))
-    whole = texts.where(may_reach(F.col("text"), file_threshold, True, templates)).select("tid", F.col("text").alias("s"), F.lit(True).alias("whole"))
+    lines = texts.select("tid", F.explode(parts).alias("s")).where(has("s", telling)).withColumn("whole", F.lit(False))
+    whole = texts.where(has("text", of_texts)).select("tid", F.col("text").alias("s"), F.lit(True).alias("whole"))
     # the few units that may reach a threshold are stored once; from here on they go by the digests of their texts
     units = stash(lines.unionByName(whole).withColumn("sid", F.md5("s")).dropDuplicates(["tid", "sid", "whole"]))
     scores = stash(score_statements(units.select("sid", "s").dropDuplicates(["sid"]), templates))

@@ -139,8 +139,8 @@ tt AS (SELECT template, license, is_full, unnest(regexp_extract_all(lower(body),
 tc AS (SELECT template, license, is_full, term, count(*) AS n FROM tt GROUP BY ALL),
 size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM templates),
 i AS (SELECT term, 1.0::DOUBLE + ln((1 + (SELECT n FROM size)) / (1 + count(*))) AS idf FROM tc GROUP BY term),
-tn AS (SELECT template, sqrt(sum((tc.n * idf) * (tc.n * idf))) AS norm FROM tc JOIN i USING (term) GROUP BY template),
-w AS (SELECT tc.template, license, is_full, tc.term, tc.n * idf / norm AS weight FROM tc JOIN i USING (term) JOIN tn ON tc.template = tn.template),
+tn AS (SELECT template, sqrt(sum((1 + ln(tc.n)) * idf * (1 + ln(tc.n)) * idf)) AS norm FROM tc JOIN i USING (term) GROUP BY template),
+w AS (SELECT tc.template, license, is_full, tc.term, (1 + ln(tc.n)) * idf / norm AS weight FROM tc JOIN i USING (term) JOIN tn ON tc.template = tn.template),
 t AS (SELECT doc_id, text, '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none')
              || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE-' ELSE '/d' || CAST(doc_id % 16 AS VARCHAR) || '/' END || CAST(doc_id AS VARCHAR) AS path FROM documents),
 m AS (SELECT DISTINCT text FROM t WHERE text IS NOT NULL),
@@ -148,7 +148,7 @@ l AS (SELECT text, unnest(string_split(text, chr(10))) AS s FROM m UNION ALL SEL
 u AS (SELECT DISTINCT text, s, false AS whole FROM l UNION ALL SELECT text, text, true FROM m),
 d AS (SELECT DISTINCT s FROM u),
 e AS (SELECT s, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM d),
-n AS (SELECT s, e.term, count(*) * coalesce(any_value(idf), 1.0::DOUBLE + ln(1 + (SELECT n FROM size))) AS w FROM e LEFT JOIN i ON e.term = i.term GROUP BY s, e.term),
+n AS (SELECT s, e.term, (1 + ln(count(*))) * coalesce(any_value(idf), 1.0::DOUBLE + ln(1 + (SELECT n FROM size))) AS w FROM e LEFT JOIN i ON e.term = i.term GROUP BY s, e.term),
 norms AS (SELECT s, sqrt(sum(w * w)) AS norm FROM n GROUP BY s HAVING count(*) > 1),
 dots AS (SELECT s, template, license, is_full, sum(n.w * weight) AS dot FROM n JOIN w ON n.term = w.term GROUP BY s, template, license, is_full),
 c AS (SELECT dots.s, license, is_full, round(dot / norm, 9) AS score FROM dots JOIN norms ON dots.s = norms.s),

@@ -8,8 +8,9 @@ headers, titles and identifier tags; the templates are a constant, and so is the
 
 Term frequencies count as 1 + ln n. Every unit is looked at, but only those that can reach a threshold are scored: the cosine
 with a template is at most the root of the sum of the squared weights of the template's terms that a unit has, so a unit
-without any of a template's ``telling_terms`` cannot reach it; these are all of its terms but some whose squared weights add
-up to less than the squared threshold (common words first, as that leaves fewer units to score). Texts and units are made distinct first, so a header that a third of the files share is scored once.
+without any of a template's ``telling_terms`` cannot reach it; these are all of its terms but common words (a template needs
+another word in common with a unit than those) and some whose squared weights add up, with those, to less than the squared
+threshold. Texts and units are made distinct first, so a header that a third of the files share is scored once.
 
 A file's own license is that of its best line or block. A licence file is one whose whole text reaches ``file_threshold``
 against a full license text, or one that is named as such (``LICENSE``, ``COPYING`` and the like) and has an own license; it
@@ -138,7 +139,7 @@ STATEMENTS = (
 TAGS = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "EPL-2.0", "BSL-1.0", "Zlib")
 GNU_TAGS = ("", "-only", "-or-later")
 
-#: Common words and numbers, which are left out of the telling terms first; they decide the cost, never the result.
+#: Common words and numbers: a unit that has no other term of a template is no statement of it.
 COMMON = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "with", "as", "be", "by", "at", "or", "from", "an", "this", "was", "are", "not", "you", "any", "if", "its", "may", "no", "under", "0", "1", "2", "3", "4")
 
 # --- end of the fixed values ---------------------------------------------------------------------------------------------
@@ -185,17 +186,19 @@ def template_weights(templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -
 
 def telling_terms(threshold: float, full: bool, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> list[str]:
     """Terms of which a unit has one at least if its cosine with any template (or any full text) reaches the threshold."""
-    own: dict[int, list[tuple[int, float, str]]] = {}
-    place = {t: i for i, t in enumerate(COMMON)}
+    left: dict[int, float] = {}
+    own: dict[int, list[tuple[float, str]]] = {}
     for i, _, is_full, term, weight in template_weights(templates)[0]:
-        if is_full or not full:
-            own.setdefault(i, []).append((place.get(term, len(COMMON)), weight, term))
+        if (is_full or not full) and term in COMMON:
+            left[i] = left.get(i, 0.0) - weight * weight
+        elif is_full or not full:
+            own.setdefault(i, []).append((weight, term))
     found = set()
-    for weights in own.values():
-        left = threshold * threshold - 1e-6
-        for _, weight, term in sorted(weights):
-            left -= weight * weight
-            if left <= 0:
+    for i, weights in own.items():
+        rest = threshold * threshold - 1e-6 + left.get(i, 0.0)
+        for weight, term in sorted(weights):
+            rest -= weight * weight
+            if rest <= 0:
                 found.add(term)
     return sorted(found)
 
@@ -215,7 +218,7 @@ def score_statements(statements: DataFrame, templates: tuple[tuple[str, bool, st
     terms = statements.select("sid", F.explode(terms_of(F.col("s"))).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).alias("n"))
     terms = terms.join(F.broadcast(known), "term", "left").select("sid", "term", ((F.lit(1.0) + F.log("n")) * F.coalesce("idf", F.lit(unknown))).alias("w"))
     norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count(F.lit(1)).alias("n_terms")).where("n_terms > 1")
-    dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "template", "license", "full").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "template", "license", "full").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(~F.col("term").isin(*COMMON)).alias("n_own")).where("n_own > 0")
     each = dots.join(norms, "sid").select("sid", "license", "full", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     best = F.struct((-F.col("score")).alias("m"), "license")
     found = each.groupBy("sid").agg(F.min(best).alias("b"), F.min(F.when(F.col("full"), best)).alias("f"))

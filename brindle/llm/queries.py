@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import stash
-from brindle.llm.licenses import TEMPLATES, scan_licenses
+from brindle.llm.licenses import COMMON, TEMPLATES, scan_licenses
 from brindle.llm.lines import dedup_lines
 from brindle.llm.lmscore import cross_entropy_difference, flag_target
 from brindle.llm.mixing import mix_sources
@@ -150,7 +150,8 @@ d AS (SELECT DISTINCT s FROM u),
 e AS (SELECT s, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS term FROM d),
 n AS (SELECT s, e.term, (1 + ln(count(*))) * coalesce(any_value(idf), 1.0::DOUBLE + ln(1 + (SELECT n FROM size))) AS w FROM e LEFT JOIN i ON e.term = i.term GROUP BY s, e.term),
 norms AS (SELECT s, sqrt(sum(w * w)) AS norm FROM n GROUP BY s HAVING count(*) > 1),
-dots AS (SELECT s, template, license, is_full, sum(n.w * weight) AS dot FROM n JOIN w ON n.term = w.term GROUP BY s, template, license, is_full),
+dots AS (SELECT s, template, license, is_full, sum(n.w * weight) AS dot FROM n JOIN w ON n.term = w.term GROUP BY s, template, license, is_full
+         HAVING count(CASE WHEN n.term NOT IN ({', '.join(map(quoted, COMMON))}) THEN 1 END) > 0),
 c AS (SELECT dots.s, license, is_full, round(dot / norm, 9) AS score FROM dots JOIN norms ON dots.s = norms.s),
 o AS (SELECT text, license, score FROM u JOIN c ON u.s = c.s WHERE NOT whole AND score >= 0.6 QUALIFY row_number() OVER (PARTITION BY text ORDER BY starts_with(license, 'LicenseRef-'), score DESC, license) = 1),
 x AS (SELECT text, license, score FROM u JOIN c ON u.s = c.s WHERE whole AND is_full AND score >= 0.75 QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, license) = 1),

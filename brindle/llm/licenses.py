@@ -140,7 +140,11 @@ TAGS = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL
 GNU_TAGS = ("", "-only", "-or-later")
 
 #: Common words and numbers: a unit that has no other term of a template is no statement of it.
-COMMON = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "with", "as", "be", "by", "at", "or", "from", "an", "this", "was", "are", "not", "you", "any", "if", "its", "may", "no", "under", "0", "1", "2", "3", "4")
+COMMON = (
+    "the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "on", "with", "as", "be", "by", "at", "or", "from", "an", "this", "was", "are", "not", "you", "any", "if", "its", "may", "no", "under",
+    "all", "been", "but", "can", "do", "either", "has", "have", "however", "more", "nor", "one", "other", "our", "out", "see", "so", "there", "we", "which", "who", "whom", "will",
+    "0", "1", "2", "3", "4",
+)
 
 # --- end of the fixed values ---------------------------------------------------------------------------------------------
 

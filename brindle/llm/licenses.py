@@ -10,7 +10,9 @@ Term frequencies count as 1 + ln n. Every unit is looked at, but only those that
 with a template is at most the root of the sum of the squared weights of the template's terms that a unit has, so a unit
 without any of a template's ``telling_terms`` cannot reach it; these are all of its terms but common words (a template needs
 another word in common with a unit than those) and some whose squared weights add up, with those, to less than the squared
-threshold. Texts and units are made distinct first, so a header that a third of the files share is scored once.
+threshold. Of those units the weights are made in place, row by row, and a unit whose unknown terms outweigh its known ones
+too far is left out as well (``weigh_units`` states the bound). Only what is left moves, as digests and at most a vocabulary
+of weights; it is made distinct first, so a header that a third of the files share is scored once.
 
 A file's own license is that of its best line or block. A licence file is one whose whole text reaches ``file_threshold``
 against a full license text, or one that is named as such (``LICENSE``, ``COPYING`` and the like) and has an own license; it
@@ -211,19 +213,63 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def score_statements(statements: DataFrame, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> DataFrame:
-    """Distinct statements (sid, s) -> (sid, license, score, file_license, file_score): the best of all templates that share
-    a term with one, and the best of the full texts."""
+def weigh_units(units: DataFrame, threshold: float, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> DataFrame:
+    """Units (tid, s, whole) -> (tid, sid, whole, norm, known): the weights of the terms that templates have, of those units
+    of two terms or more that may reach the threshold.
+
+    With a template that has a share c of its squared weights in common words, the cosine is at most (root of c times the
+    norm of the unit's common words + the norm of its other known terms) / the norm of all its terms.
+    """
     rows, idf, unknown = template_weights(templates)
-    spark = statements.sparkSession
-    listed = lambda names, lines: spark.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS t({names})")
-    weights = listed("template, license, full, term, weight", (f"({i}, '{n}', {str(f).lower()}, '{t}', {w!r}D)" for i, n, f, t, w in rows))
-    known = listed("term, idf", (f"('{t}', {w!r}D)" for t, w in idf.items()))
-    terms = statements.select("sid", F.explode(terms_of(F.col("s"))).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).alias("n"))
-    terms = terms.join(F.broadcast(known), "term", "left").select("sid", "term", ((F.lit(1.0) + F.log("n")) * F.coalesce("idf", F.lit(unknown))).alias("w"))
-    norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count(F.lit(1)).alias("n_terms")).where("n_terms > 1")
-    dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "template", "license", "full").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(~F.col("term").isin(*COMMON)).alias("n_own")).where("n_own > 0")
-    each = dots.join(norms, "sid").select("sid", "license", "full", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    of_common = Counter()
+    for i, _, _, term, weight in rows:
+        of_common[i] += weight * weight * (term in COMMON)
+    names, common = F.array(*map(F.lit, idf)), F.array(*map(F.lit, COMMON))
+    idfs = F.map_from_arrays(names, F.array(*map(F.lit, idf.values())))
+    tf = lambda n: F.lit(1.0) + F.log(n)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+    root = lambda ks: F.sqrt(total(F.transform(ks, lambda k: k.w * k.w)))
+    # equal terms lie next to each other; a term's count is the way to the next one's start
+    table = units.select("tid", F.md5("s").alias("sid"), "whole", F.sort_array(terms_of(F.col("s"))).alias("terms"))
+    at = lambda xs, i: F.get(F.col(xs), i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: ~at("terms", i).eqNullSafe(at("terms", i - 1)))
+    table = table.withColumn("starts", starts)
+    table = table.select(
+        "tid",
+        "sid",
+        "whole",
+        F.transform("starts", lambda i: at("terms", i)).alias("terms"),
+        F.transform("starts", lambda i, k: tf(F.coalesce(at("starts", k + 1), F.size("terms")) - i)).alias("tfs"),
+    )
+    table = table.withColumn("own", F.array_intersect("terms", names))
+    known = F.transform("own", lambda t: F.struct(t.alias("term"), (at("tfs", F.array_position(F.col("terms"), t).cast("int") - 1) * F.element_at(idfs, t)).alias("w")))
+    others = total(F.transform("terms", lambda t, k: F.when(F.array_contains(F.col("own"), t), F.lit(0.0)).otherwise(at("tfs", k) * at("tfs", k))))
+    table = table.select("tid", "sid", "whole", F.size("terms").alias("n"), known.alias("known"), (others * F.lit(unknown * unknown)).alias("others"))
+    is_common = lambda k: F.array_contains(common, k.term)
+    table = table.select(
+        "tid",
+        "sid",
+        "whole",
+        "n",
+        "known",
+        F.sqrt(F.col("others") + total(F.transform("known", lambda k: k.w * k.w))).alias("norm"),
+        (F.lit(math.sqrt(max(of_common.values()))) * root(F.filter("known", is_common)) + root(F.filter("known", lambda k: ~is_common(k)))).alias("most"),
+    )
+    # as a generated row, for a plain condition would be pushed down and all of the above evaluated again for each of its columns
+    reaches = (F.col("n") > 1) & (F.col("most") >= F.lit(threshold - 1e-6) * F.col("norm"))
+    kept = table.select("tid", "sid", "whole", F.explode_outer(F.when(reaches, F.array(F.struct("norm", "known")))).alias("kept"))
+    return kept.where("kept IS NOT NULL").select("tid", "sid", "whole", "kept.norm", "kept.known")
+
+
+def score_statements(statements: DataFrame, templates: tuple[tuple[str, bool, str], ...] = TEMPLATES) -> DataFrame:
+    """Distinct statements (sid, norm, known) -> (sid, license, score, file_license, file_score): the best of all templates that
+    share a term with one, and the best of the full texts."""
+    rows = template_weights(templates)[0]
+    lines = (f"({i}, '{n}', {str(f).lower()}, '{t}', {w!r}D)" for i, n, f, t, w in rows)
+    weights = statements.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(lines)} AS t(template, license, full, term, weight)")
+    terms = statements.select("sid", "norm", F.inline("known"))
+    dots = terms.join(F.broadcast(weights), "term").groupBy("sid", "norm", "template", "license", "full").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count_if(~F.col("term").isin(*COMMON)).alias("n_own")).where("n_own > 0")
+    each = dots.select("sid", "license", "full", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     best = F.struct((-F.col("score")).alias("m"), "license")
     found = each.groupBy("sid").agg(F.min(best).alias("b"), F.min(F.when(F.col("full"), best)).alias("f"))
     return found.select("sid", "b.license", (-F.col("b.m")).alias("score"), F.col("f.license").alias("file_license"), (-F.col("f.m")).alias("file_score"))
@@ -240,13 +286,13 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     table = pick(files, path_col, text_col, *keys).withColumnsRenamed({"c0": "path", "c1": "text"}).withColumn("tid", F.md5("text"))
     telling, of_texts = (F.array(*map(F.lit, telling_terms(x, full, templates))) for x, full in ((threshold, False), (file_threshold, True)))
     has = lambda s, terms: F.arrays_overlap(terms_of(F.col(s)), terms)
-    texts = table.where(F.col("text").isNotNull() & (has("text", telling) | has("text", of_texts))).select("tid", "text")
+    texts = table.where(F.col("text").isNotNull() & has("text", F.array_union(telling, of_texts))).select("tid", "text")
     parts = F.array_distinct(F.concat(F.split("text", "\n", -1), F.split("text", BETWEEN_BLOCKS, -1)))
     lines = texts.select("tid", F.explode(parts).alias("s")).where(has("s", telling)).withColumn("whole", F.lit(False))
     whole = texts.where(has("text", of_texts)).select("tid", F.col("text").alias("s"), F.lit(True).alias("whole"))
-    # the few units that may reach a threshold are stored once; from here on they go by the digests of their texts
-    units = stash(lines.unionByName(whole).withColumn("sid", F.md5("s")).dropDuplicates(["tid", "sid", "whole"]))
-    scores = stash(score_statements(units.select("sid", "s").dropDuplicates(["sid"]), templates))
+    # the few units that may reach a threshold are stored once, by digests and weights; their texts are neither moved nor stored
+    units = stash(weigh_units(lines, threshold, templates).unionByName(weigh_units(whole, file_threshold, templates)).dropDuplicates(["tid", "sid", "whole"]))
+    scores = stash(score_statements(units.select("sid", "norm", "known").dropDuplicates(["sid"]), templates))
     scored = units.select("tid", "sid", "whole").join(scores, "sid")
     vague = F.startswith(F.col("license"), F.lit("LicenseRef-"))
     best = F.min(F.when(~F.col("whole") & (F.col("score") >= threshold), F.struct(vague.alias("vague"), (-F.col("score")).alias("m"), "license")))

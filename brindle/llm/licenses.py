@@ -230,16 +230,16 @@ def weigh_units(units: DataFrame, threshold: float, templates: tuple[tuple[str,
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
     root = lambda ks: F.sqrt(total(F.transform(ks, lambda k: k.w * k.w)))
     # equal terms lie next to each other; a term's count is the way to the next one's start
-    table = units.select("tid", F.md5("s").alias("sid"), "whole", F.sort_array(terms_of(F.col("s"))).alias("terms"))
+    table = units.select("tid", F.md5("s").alias("sid"), "whole", F.sort_array(terms_of(F.col("s"))).alias("sorted"))
     at = lambda xs, i: F.get(F.col(xs), i)
-    starts = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: ~at("terms", i).eqNullSafe(at("terms", i - 1)))
+    starts = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: ~at("sorted", i).eqNullSafe(at("sorted", i - 1)))
     table = table.withColumn("starts", starts)
     table = table.select(
         "tid",
         "sid",
         "whole",
-        F.transform("starts", lambda i: at("terms", i)).alias("terms"),
-        F.transform("starts", lambda i, k: tf(F.coalesce(at("starts", k + 1), F.size("terms")) - i)).alias("tfs"),
+        F.transform("starts", lambda i: at("sorted", i)).alias("terms"),
+        F.transform("starts", lambda i, k: tf(F.coalesce(at("starts", k + 1), F.size("sorted")) - i)).alias("tfs"),
     )
     table = table.withColumn("own", F.array_intersect("terms", names))
     known = F.transform("own", lambda t: F.struct(t.alias("term"), (at("tfs", F.array_position(F.col("terms"), t).cast("int") - 1) * F.element_at(idfs, t)).alias("w")))

@@ -335,8 +335,9 @@ def test_licenses(spark):
     assert [tuple(r) for r in licenses.scan_licenses(odd, "p.ath", "te.xt", ("the.key", "tid")).select("`the.key`", "tid", "license").collect()] == [(1, "y", "MIT")]
 
 
-def test_only_units_below_the_threshold_are_left_out():
-    """Mixtures of templates and other words: whatever reaches a threshold by plain cosines has a telling term."""
+def test_only_units_below_the_threshold_are_left_out(spark):
+    """Mixtures of templates and other words: whatever reaches a threshold by plain cosines has a telling term and is weighed,
+    with the norm that plain Python finds; scores equal plain cosines."""
     rows, idf, unknown = licenses.template_weights()
     vectors = collections.defaultdict(dict)
     for i, _, _, term, weight in rows:
@@ -346,14 +347,23 @@ def test_only_units_below_the_threshold_are_left_out():
     for _ in range(400):
         own = rng.choice(licenses.TEMPLATES)[2].split()
         texts.append(" ".join(rng.sample(own, rng.randint(1, len(own))) + words(rng.randint(0, 6), rng.random()).split()))
-    best = []
+    texts += ["", "mit", "the the", "of " * 200 + "mit", "license " * 3 + "mit", words(400) + " mit only"]
+    best, norms = [], []
     for t in texts:
         q = {w: (1 + math.log(n)) * idf.get(w, unknown) for w, n in collections.Counter(licenses.re.findall(licenses.TERM, t.lower())).items()}
-        norm = math.sqrt(sum(x * x for x in q.values()))
-        best.append(max(sum(x * v.get(w, 0.0) for w, x in q.items()) * any(w in v and w not in licenses.COMMON for w in q) for v in vectors.values()) / norm)
+        norm = math.sqrt(sum(x * x for x in q.values())) or 1.0
+        norms.append(norm)
+        best.append((len(q) > 1) * max(sum(x * v.get(w, 0.0) for w, x in q.items()) * any(w in v and w not in licenses.COMMON for w in q) for v in vectors.values()) / norm)
     telling = set(licenses.telling_terms(0.6, False))
     passed = {i for i, t in enumerate(texts) if telling & set(licenses.re.findall(licenses.TERM, t.lower()))}
     assert {i for i, x in enumerate(best) if x >= 0.6} <= passed and any(x >= 0.6 for x in best) and len(passed) < 400
+    units = spark.createDataFrame([(str(i), t, False) for i, t in enumerate(texts)], "tid string, s string, whole boolean")
+    weighed = licenses.weigh_units(units, 0.6).cache()
+    kept = {int(r.tid): r.norm for r in weighed.collect()}
+    assert {i for i, x in enumerate(best) if x >= 0.6} <= set(kept) and len(kept) < len(texts) - 20
+    assert all(abs(norms[i] - x) < 1e-9 for i, x in kept.items())
+    scores = {int(r.sid): r.score for r in licenses.score_statements(weighed.select(F.col("tid").alias("sid"), "norm", "known")).collect()}
+    assert all(abs(scores.get(i, 0.0) - best[i]) < 1e-8 for i in kept)
 
 
 # --- pipeline ------------------------------------------------------------------------------------------------------------

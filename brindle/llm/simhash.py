@@ -226,14 +226,19 @@ def shingle_values(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, per_text: int = 4) -> DataFrame:
+def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, per_text: int = 64) -> DataFrame:
     """(a, b): fingerprints of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Exact: two such sets lack less than a fifth (at 0.8) of each other's values, so of the values in ascending order each
-    text sends one more than it can lack, and both send one that they share. Fingerprints are connected, not all pairs sent.
+    text sends one more than it can lack, and both send one that they share. Each sends a twentieth of its values on top, so
+    alike texts meet in that many more, and texts that merely have a passage in common do not meet often enough to be compared.
+    Fingerprints are connected, not all pairs sent.
     """
     texts = pick(docs, text_col)
 
+    def more(n):
+        return np.minimum(np.asarray(n) // 20, np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64) - 1)
+
     def sends(read):
         seen: set[int] = set()
         values: list[np.ndarray] = []
@@ -245,7 +250,7 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
             if len(seen) > 200_000:
                 seen.clear()
             seen.add(mark)
-            n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+            n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 + int(more(len(own)))
             # the lowest values have equal first bits, so they are mixed for the lots
             mixed = (own[:n] ^ own[:n] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
@@ -270,7 +275,7 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
     total = texts.agg(F.sum(F.length("c0"))).first()[0] or 0
     # about six characters to a word
     parts = 1 + int(total / 6 * (1 - similarity)) // (1 << 20)
-    found = stash(candidates(texts, sends, similarity, per_text, parts, differ, differ))
+    found = stash(candidates(texts, sends, similarity, per_text, parts, differ, differ, lambda n, m: 1 + more(np.minimum(n, m))))
     needed = stash(needed_keys(found))
     wanted = key_filter(needed)
 

@@ -374,6 +374,7 @@ def test_pipeline(spark, tmp_path):
     rows += [(30, "a", rows[0][2]), (31, "a", "x " * 400), (32, None, None), (33, "b", "too short")]
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     frame(spark, rows).select(*columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     seen = {}
     for name, stage in corpus_pipeline.STAGES:

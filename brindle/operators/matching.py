@@ -112,6 +112,42 @@ def filter_candidates(pairs: DataFrame, attributes: DataFrame, predicates: bool
     return joined.select("id1", "id2", "subject1", "subject2", F.col("subj_name1").alias("name1"), F.col("subj_name2").alias("name2"), "grams1", "grams2")
 
 
+def block_pairs(members: DataFrame, attributes: DataFrame, predicates: bool = True, categories: bool = True, chunk: int = 1024, deal: int = 16) -> DataFrame:
+    """Pairs of members (block, id, kg) of a block, one of each graph, filtered like ``filter_candidates``: in the columns ids1,
+    ids2, subject1, subject2, name1, name2, grams1, grams2. Each id of ids1 with each of ids2 is a pair (once for each block
+    that both are in); pairs are made behind the last exchange and not stored.
+
+    Members that differ in their ids alone are paired as one, about ``chunk`` of them at most. Those of graph 1 are dealt to
+    ``deal`` tasks a block, and those of graph 2 are sent to each of these, so that few blocks keep many tasks busy.
+    """
+    traits = ["subject", "rel_name", "subj_name", "category", "subcategory"]
+    keys = ["block", "kg", *traits]
+    rows = members.distinct().join(attributes.select("id", *traits), "id").withColumn("mark", F.xxhash64(*keys))
+    large = rows.groupBy("mark").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    alike = rows.join(large, "mark", "left").groupBy(*keys, part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    n_parts = max(64, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def side(n: int, task) -> DataFrame:
+        dealt = alike.where(F.col("kg") == n).select("block", task.alias("task"), F.col("ids").alias(f"ids{n}"), *(F.col(c).alias(f"{c}{n}") for c in traits))
+        # bigrams are made behind the exchange, so they are not moved
+        return dealt.repartition(n_parts, "block", "task").withColumn(f"grams{n}", C.numbered(C.bigrams(F.col(f"subj_name{n}"))))
+
+    own, each = F.pmod(F.xxhash64(*keys, "part"), F.lit(deal)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long")))
+    joined = side(1, own).join(side(2, each).hint("shuffle_hash"), ["block", "task"])
+    if predicates:
+        joined = joined.where("rel_name1 = rel_name2")
+    if categories:
+        joined = joined.where("category1 = category2 AND subcategory1 = subcategory2")
+    return joined.select("ids1", "ids2", "subject1", "subject2", F.col("subj_name1").alias("name1"), F.col("subj_name2").alias("name2"), "grams1", "grams2")
+
+
+def each_id(pairs: DataFrame) -> DataFrame:
+    """Pairs of ids1 and ids2 as one row for each pair of ids, id1 and id2."""
+    others = [c for c in pairs.columns if c not in ("ids1", "ids2")]
+    return pairs.select(F.explode("ids1").alias("id1"), "ids2", *others).select("id1", F.explode("ids2").alias("id2"), *others)
+
+
 def similarities(pairs: DataFrame) -> DataFrame:
     """Pairs with ``sim``, the similarity of their names; null where neither has a character."""
     return pairs.withColumn("sim", C.set_similarity(F.col("grams1"), F.col("grams2")))

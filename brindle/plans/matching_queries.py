@@ -53,25 +53,22 @@ def _entities(spark, d):
     return one.unionByName(two)
 
 
-def _pairs(spark, d):
-    """Customers and suppliers that share a nation."""
-    e = _entities(spark, d)
-    side = lambda kg: e.where(F.col("kg") == kg).select("object", F.col("id").alias(f"id{kg}"))
-    return side(1).join(side(2), "object").select("id1", "id2").distinct()
-
-
 def entity_attributes(spark, d):
     e = _entities(spark, d)
     return M.entity_attributes(e, e.select("id"))
 
 
+def _pairs(spark, d):
+    """Customers and suppliers that share a nation, those that differ in their ids alone as one."""
+    return M.block_pairs(_entities(spark, d).select(F.col("object").alias("block"), "id", "kg"), entity_attributes(spark, d))
+
+
 def filter_candidates(spark, d):
-    return M.filter_candidates(_pairs(spark, d), entity_attributes(spark, d)).select("id1", "id2", "name1", "name2")
+    return M.each_id(_pairs(spark, d).select("ids1", "ids2", "name1", "name2"))
 
 
 def uri_similarity(spark, d):
-    scored = M.similarities(M.filter_candidates(_pairs(spark, d), entity_attributes(spark, d)))
-    return scored.select("id1", "id2", F.round("sim", 6).alias("sim"))
+    return M.each_id(M.similarities(_pairs(spark, d)).select("ids1", "ids2", F.round("sim", 6).alias("sim")))
 
 
 def _truth(spark, d):
@@ -91,7 +88,7 @@ def true_alignment(spark, d):
 
 
 def match_entities(spark, d):
-    return M.match(M.filter_candidates(_pairs(spark, d), entity_attributes(spark, d)), 0.36)
+    return M.match(_pairs(spark, d), 0.36)
 
 
 def evaluate_matches(spark, d):

@@ -192,3 +192,19 @@ def test_cnn_gradient():
 def test_true_alignment(spark):
     rows = [("c1", "x/alignmententity1", "A"), ("c1", "x/alignmententity2", "B"), ("c1", "x/alignmentrelation", '"="'), ("c2", "x/alignmententity1", "C"), ("c2", "x/alignmententity2", "D"), ("c2", "x/alignmentrelation", '"<"')]
     assert [tuple(r) for r in matching.true_alignment(spark.createDataFrame(rows, S)).collect()] == [("A", "B")]
+
+
+@pytest.mark.parametrize("chunk, deal", [(1024, 16), (2, 3)])
+def test_block_pairs_are_the_filtered_candidates(spark, chunk, deal):
+    """Pairs made block by block, alike members as one, are those of the stored pairs; repeated names keep all their ids."""
+    wiki = "http://one.example.org/data/wiki/"
+    rows = [(i, f"{wiki}{'AB'[i % 2]}/name{i % 3}", "p/x" if i % 5 else "p/y", "AB"[i % 2], 1) for i in range(23)] + [(-1 - i, f"{wiki}{'AB'[i % 2]}/name{i % 4}", "p/x", "AB"[i % 2], 2) for i in range(11)]
+    e = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, kg int")
+    attributes = matching.entity_attributes(e, e.select("id"))
+    pairs = e.where("kg = 1").select("object", F.col("id").alias("id1")).join(e.where("kg = 2").select("object", F.col("id").alias("id2")), "object").select("id1", "id2")
+    for predicates in (True, False):
+        want = matching.similarities(matching.filter_candidates(pairs, attributes, predicates)).select("id1", "id2", "subject1", "subject2", "sim").collect()
+        blocks = matching.block_pairs(e.select(F.col("object").alias("block"), "id", "kg"), attributes, predicates, chunk=chunk, deal=deal)
+        found = matching.each_id(matching.similarities(blocks).select("ids1", "ids2", "subject1", "subject2", "sim")).collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and len(want) > 50
+        assert len(blocks.collect()) < len(found)

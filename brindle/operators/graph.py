@@ -118,6 +118,23 @@ def neighbour_similarity(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("v1", "v2", (both / (F.col("size1") + F.col("size2") - both)).alias("jaccard"))
 
 
+def group_similarity(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(v1, v2, jaccard) of the neighbour sets of all pairs v1 < v2 of vertices (v, group) of a group, where both have some.
+
+    Shared neighbours are counted where vertices of a group meet at a neighbour, so pairs without any cost one narrow row.
+    """
+    groups = groups.distinct()
+    sets = edges.select(F.col("src").alias("v"), F.col("dst").alias("n")).distinct()
+    sized = groups.join(sets.groupBy("v").agg(F.count(F.lit(1)).alias("size")), "v")
+    member = lambda df, n, *more: df.select("group", F.col("v").alias(f"v{n}"), *more)
+    at = sets.join(groups, "v")
+    met = member(at, 1, "n").join(member(at, 2, "n"), ["group", "n"]).where("v1 < v2").groupBy("group", "v1", "v2").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = member(sized, 1, F.col("size").alias("size1")).join(member(sized, 2, F.col("size").alias("size2")), "group").where("v1 < v2")
+    both = F.coalesce("shared", F.lit(0))
+    out = pairs.join(met, ["group", "v1", "v2"], "left")
+    return out.select("v1", "v2", (both / (F.col("size1") + F.col("size2") - both)).alias("jaccard"))
+
+
 def name_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs with the edit distance of their names and the Jaccard similarity of their letters."""
     letters = lambda c: F.array_distinct(F.split(F.lower(F.col(c)), ""))

@@ -75,9 +75,8 @@ def triangle_count(spark, d):
 def node_similarity_jaccard(spark, d):
     """Parts that two suppliers of a nation deliver."""
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    pairs = s.select(F.col("s_suppkey").alias("v1"), "s_nationkey").join(s.select(F.col("s_suppkey").alias("v2"), "s_nationkey"), "s_nationkey").where("v1 < v2").select("v1", "v2")
-    return G.neighbour_similarity(edges, pairs).select("v1", "v2", F.round("jaccard", 6).alias("jaccard"))
+    groups = table(spark, d, "supplier").select(F.col("s_suppkey").alias("v"), F.col("s_nationkey").alias("group"))
+    return G.group_similarity(edges, groups).select("v1", "v2", F.round("jaccard", 6).alias("jaccard"))
 
 
 def name_edit_distance(spark, d):

@@ -208,3 +208,13 @@ def test_block_pairs_are_the_filtered_candidates(spark, chunk, deal):
         found = matching.each_id(matching.similarities(blocks).select("ids1", "ids2", "subject1", "subject2", "sim")).collect()
         assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and len(want) > 50
         assert len(blocks.collect()) < len(found)
+
+
+def test_group_similarity_counts_where_vertices_meet(spark):
+    """The same values as from the pairs, pairs without a shared neighbour and repeated edges included."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(12), rng.randrange(30)) for _ in range(90)] + [(3, 4)] * 5, "src long, dst long")
+    groups = spark.createDataFrame([(v, v % 3) for v in range(14)], "v long, group long")
+    pairs = groups.alias("a").join(groups.alias("b"), (F.col("a.group") == F.col("b.group")) & (F.col("a.v") < F.col("b.v"))).select(F.col("a.v").alias("v1"), F.col("b.v").alias("v2"))
+    want = sorted(tuple(r) for r in G.neighbour_similarity(edges, pairs).collect())
+    assert sorted(tuple(r) for r in G.group_similarity(edges, groups).collect()) == want and any(r[2] == 0 for r in want)

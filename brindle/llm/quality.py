@@ -5,8 +5,8 @@ when it is noise. The usual ratio depends on the length, so each length band has
 measured, and each fixed chunk of it as well, so that a long document with a repetitive or random stretch is seen.
 
 ``fit_bands`` takes the limits from documents that are labelled as good: half an octave of lengths is a band, and its limits
-are the outermost ratios of its good documents but for a small share on each side, with a margin. Of the good ones a sample
-of ``max_rows`` is measured, whose bound is that parameter. Bands with too few of them keep the wide limits of ``Bands``.
+are the outermost ratios of its good documents but for a small share on each side, with a margin. All good ones are measured
+and the ranks are exact. Bands with too few of them keep the wide limits of ``Bands``.
 
 Defined results: without any good document the limits are those of ``Bands``. A null text counts as an empty one; an empty text has ratio 0 and no chunks, and fails the base rules.
 Rows are judged one by one, so ties, repeated rows and null ids change nothing. Empty tables give empty ones. Columns other than the id and the text are
@@ -22,10 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACE_BYTES, map_batches, map_rows, pick, renamed
+from brindle.llm.common import SPACE_BYTES, map_batches, map_rows, pick, renamed, stash
+from brindle.llm.lines import key_filter
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -142,24 +143,58 @@ def good_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "qual
     return pick(labels, id_col, quality_col).where("c1 = 1").select("c0")
 
 
-def fit_bands(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, tail: float = 0.005, margin: float = 0.01, least_rows: int = 50, wide: Bands = Bands()) -> Bands:
+#: Ratios are counted in cells of this width before the ones of a rank are looked for.
+CELL = 1 / 4096
+
+
+def outer_ranks(ratios: DataFrame, tail: float, least_rows: int) -> dict[int, list[float]]:
+    """band -> its ratios at the shares ``tail`` and 1 - ``tail``, of a stored (band, ratio) table, between two ranks in
+    proportion; only of bands of ``least_rows`` rows or more. Counts of cells, and ratios of four ranks a band, come to the driver."""
+    cell = F.floor(F.col("ratio") / CELL).cast("long").alias("cell")
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in ratios.groupBy("band", cell).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.band, []).append((r.cell, r.n))
+    asked: dict[int, list[tuple[tuple[int, int], tuple[int, int], float]]] = {}
+    for band, cells in counts.items():
+        cells.sort()
+        ends = np.cumsum([n for _, n in cells])
+        if ends[-1] < least_rows:
+            continue
+
+        def at(rank: int) -> tuple[int, int]:
+            i = int(np.searchsorted(ends, rank, side="right"))
+            return cells[i][0], rank - int(ends[i]) + cells[i][1] + 1
+
+        spots = [share * (int(ends[-1]) - 1) for share in (tail, 1 - tail)]
+        asked[band] = [(at(int(x)), at(min(int(x) + 1, int(ends[-1]) - 1)), x - int(x)) for x in spots]
+    if not asked:
+        return {}
+    wanted = sorted({(band, *spot) for band, two in asked.items() for below, above, _ in two for spot in (below, above)})
+    ranks = ratios.sparkSession.createDataFrame(wanted, "band int, cell long, rank int")
+    near = ratios.select("band", cell, "ratio").join(F.broadcast(ranks.select("band", "cell").distinct()), ["band", "cell"])
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("band", "cell").orderBy("ratio")))
+    found = {(r.band, r.cell, r.rank): r.ratio for r in ranked.join(F.broadcast(ranks), ["band", "cell", "rank"], "left_semi").collect()}
+    return {band: [(1 - part) * found[band, *below] + part * found[band, *above] for below, above, part in two] for band, two in asked.items()}
+
+
+def fit_bands(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: float = 0.005, margin: float = 0.01, least_rows: int = 50, wide: Bands = Bands()) -> Bands:
     """Bands whose limits leave out ``tail`` of the good documents on each side, less a margin. ``good`` is a one-column
-    table of ids, of which about ``max_rows``, chosen by hash, are measured; only limits come to the driver."""
-    ids = good.select(F.col(good.columns[0]).alias("id")).where("id IS NOT NULL").distinct()
-    step = max(1, -(-ids.count() // max_rows))
-    chosen = ids.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
-    sample = pick(docs, id_col, text_col).join(F.broadcast(chosen), F.col("c0") == F.col("id")).select("c1")
+    table of ids, whose documents are all measured; a filter of bounded size leaves most others out before that, and a join
+    on the ids the rest, so texts are not moved."""
+    table = pick(docs, id_col, text_col)
+    kind = table.schema["c0"].dataType
+    ids = stash(good.select(F.col(good.columns[0]).try_cast(kind).alias("id")).where("id IS NOT NULL").distinct())
+    wanted = key_filter(ids.select(F.xxhash64("id").alias("key")))
 
     def ratios(read):
         packer = zstandard.ZstdCompressor(level=wide.level)
-        for (text,) in read:
-            m = measure(text, wide, packer)
-            if not m.base_failed:
+        for key, text, mark in read:
+            if wanted(np.array([mark], np.int64).view(np.uint64))[0] and not (m := measure(text, wide, packer)).base_failed:
                 size = len((text or "").encode("utf-8", "surrogatepass"))
-                yield bisect_right(FINE_EDGES, size) - 1, m.ratio
+                yield key, bisect_right(FINE_EDGES, size) - 1, m.ratio
 
-    ends = F.percentile("ratio", F.array(F.lit(tail), F.lit(1 - tail))).alias("ends")
-    found = {r.band: r.ends for r in map_rows(sample, "band int, ratio double", ratios).groupBy("band").agg(ends, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).collect()}
+    measured = map_rows(table.where("c0 IS NOT NULL").select("c0", "c1", F.xxhash64("c0").alias("mark")), f"id {kind.simpleString()}, band int, ratio double", ratios)
+    found = outer_ranks(stash(measured.join(ids, "id", "left_semi").select("band", "ratio")), tail, least_rows)
     low, high = [], []
     for band, edge in enumerate(FINE_EDGES):
         at = bisect_right(wide.edges, edge) - 1

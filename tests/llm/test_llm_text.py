@@ -383,3 +383,20 @@ def test_features_are_chosen_alike_in_any_company():
     value, line, _, _ = LN.features(hashed([x.encode().split() for x in lines]), rare, 0.8)
     for i, text in enumerate(lines):
         assert sorted(value[line == i].tolist()) == sorted(LN.features(hashed([text.encode().split()]), rare, 0.8)[0].tolist())
+
+
+def test_bands_are_fitted_to_all_good_documents(spark):
+    """The outer ratios are those of all good rows, equal ones and ones of a single cell included, as NumPy has them."""
+    rng = np.random.default_rng(3)
+    parts = [rng.random(n) * w + 0.3 for n, w in ((1001, 0.4), (1, 0.1), (60, 1e-5), (700, 0.0), (49, 1.0))]
+    rows = [(band, float(x)) for band, part in enumerate(parts) for x in part]
+    found = Q.outer_ranks(spark.createDataFrame(rows, "band int, ratio double"), 0.005, 50)
+    assert sorted(found) == [0, 2, 3]
+    for band, ends in found.items():
+        assert np.allclose(ends, np.quantile(parts[band], [0.005, 0.995]), rtol=0, atol=1e-15)
+    # 60 documents among 25,000 good ones are enough for a band; a sample of 20,000 ids had left out half of them
+    noise = "concat_ws(' ', transform(sequence(1, 60), i -> md5(concat(id, ' ', i))))"
+    docs = spark.range(25_000).selectExpr("id AS doc_id", f"CASE WHEN id < 60 THEN {noise} ELSE 'x' END AS text")
+    bands = Q.fit_bands(docs, docs.select("doc_id"), least_rows=60)
+    band = Q.bisect_right(Q.FINE_EDGES, 60 * 33 - 1) - 1
+    assert bands.high[band] < 0.65 < Q.fit_bands(docs.where("doc_id > 0"), docs.select("doc_id"), least_rows=60).high[band]

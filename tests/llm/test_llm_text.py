@@ -400,3 +400,11 @@ def test_bands_are_fitted_to_all_good_documents(spark):
     bands = Q.fit_bands(docs, docs.select("doc_id"), least_rows=60)
     band = Q.bisect_right(Q.FINE_EDGES, 60 * 33 - 1) - 1
     assert bands.high[band] < 0.65 < Q.fit_bands(docs.where("doc_id > 0"), docs.select("doc_id"), least_rows=60).high[band]
+
+
+def test_words_are_counted_in_all_texts(spark):
+    """Every line of every text counts, however many texts there are; lines too short to be sent do not."""
+    docs = spark.range(12_000, numPartitions=3).selectExpr("concat(translate(id, '0123456789', 'abcdefghij'), ' common more words\nshort') AS c0")
+    counts = LN.word_counts(docs, 4)
+    assert counts.sum() == 4 * 12_000 and (counts >= 12_000).sum() == 3
+    assert LN.word_counts(docs.where("false"), 4).sum() == 0

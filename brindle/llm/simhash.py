@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import map_batches, map_rows, pick, renamed, stash
-from brindle.llm.lines import ANYWHERE, candidates, feature_rows, half_parities, key_filter, needed_keys, parities, verified
+from brindle.llm.lines import ANYWHERE, candidates, feature_rows, key_filter, needed_keys, parities, verified
 from brindle.operators.components import connected_components
 
 SEED = 42
+#: Sets of up to so many shingles have 64 and 128 parities, larger ones none.
+LIMITS = (64, 160)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -254,9 +256,8 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
             # the lowest values have equal first bits, so they are mixed for the lots
             mixed = (own[:n] ^ own[:n] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
-            start = np.zeros(1, np.int64)
-            alone = [np.full(n, x) for x in (np.uint64(fingerprint(text, shingle)), len(own), parities(own, start)[0], half_parities(own, start)[0])]
-            sent = feature_rows(mixed, ANYWHERE, alone[0], alone[1], False, *alone[2:])
+            marks = parities(own, np.zeros(1, np.int64), np.array([len(own)]), LIMITS)
+            sent = feature_rows(mixed, ANYWHERE, np.full(n, np.uint64(fingerprint(text, shingle))), np.full(n, len(own)), False, np.repeat(marks, n, axis=0))
             values.append(mixed)
             rows.append(sent)
             if len(values) > 512:
@@ -275,7 +276,7 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
     total = texts.agg(F.sum(F.length("c0"))).first()[0] or 0
     # about six characters to a word
     parts = 1 + int(total / 6 * (1 - similarity)) // (1 << 20)
-    found = stash(candidates(texts, sends, similarity, per_text, parts, differ, differ, lambda n, m: 1 + more(np.minimum(n, m))))
+    found = stash(candidates(texts, sends, similarity, per_text, parts, differ, differ, lambda n, m: 1 + more(np.minimum(n, m)), LIMITS))
     needed = stash(needed_keys(found))
     wanted = key_filter(needed)
 

@@ -408,3 +408,35 @@ def test_words_are_counted_in_all_texts(spark):
     counts = LN.word_counts(docs, 4)
     assert counts.sum() == 4 * 12_000 and (counts >= 12_000).sum() == 3
     assert LN.word_counts(docs.where("false"), 4).sum() == 0
+
+
+def test_long_lines_with_rare_words_in_common_are_told_apart():
+    """Lines of 130 to 500 words that have a few rare words in common, and nothing else, are not sent on as candidates."""
+    rng = np.random.default_rng(11)
+    vocabulary = plain_words(6000)
+    for n in (130, 200, 250, 300, 500):
+        lines = [[w.encode() for w in rng.choice(vocabulary, n, replace=False)] for _ in range(60)]
+        for line in lines:
+            line[5], line[40], line[90] = b"rareone", b"raretwo", b"rarethree"
+        lines += [[*lines[0][:-1], b"end"]]
+        read = hashed(lines)
+        rare = LN.rarity(np.zeros(1 << LN.CELL_BITS), 1.0, 0.8)
+        shift = lambda n, m: LN.edits(np.maximum(n, m), 0.8)
+        (a, b, met, need), _ = LN.meetings(LN.line_rows(read, rare, 0.8)[1], 0.8, 10**9, shift, lambda n, m: 2 * shift(n, m) - np.abs(n - m))
+        passed = {tuple(sorted(p)) for p in zip(a[met >= need].tolist(), b[met >= need].tolist())}
+        keys = read.keys.view(np.int64).tolist()
+        assert tuple(sorted((keys[0], keys[-1]))) in passed and len(passed) < 40
+
+
+def test_passes_by_length_find_all_links(spark, monkeypatch):
+    """Wherever lines are cut into short and long ones, the same lines go; packed rows are read as they were."""
+    lines = edited_lines(0.8, seed=7, sizes=(10, 11, 12, 13, 14, 100, 130, 160, 300))
+    want = None
+    for cut in (12, 96, 128):
+        monkeypatch.setattr(LN, "CUT", cut)
+        got = {r.doc_id for r in LN.dedup_lines(frame(spark, [b" ".join(x).decode() for x in lines])).collect() if r.text}
+        want = want or {i for i in alike_groups(lines)}
+        assert got == want
+    rare = LN.rarity(np.zeros(1 << LN.CELL_BITS), 1.0, 0.8)
+    rows = LN.line_rows(hashed(lines), rare, 0.8)[1]
+    assert (LN.unpack_rows(LN.pack_rows(rows)) == rows[np.argsort(rows["value"], kind="stable")]).all()

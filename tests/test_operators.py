@@ -218,3 +218,22 @@ def test_group_similarity_counts_where_vertices_meet(spark):
     pairs = groups.alias("a").join(groups.alias("b"), (F.col("a.group") == F.col("b.group")) & (F.col("a.v") < F.col("b.v"))).select(F.col("a.v").alias("v1"), F.col("b.v").alias("v2"))
     want = sorted(tuple(r) for r in G.neighbour_similarity(edges, pairs).collect())
     assert sorted(tuple(r) for r in G.group_similarity(edges, groups).collect()) == want and any(r[2] == 0 for r in want)
+
+
+def test_triangles_by_colours(spark, monkeypatch):
+    """However many edges a task may hold and paths it makes at a time, each triangle is found once and no path is shuffled."""
+    rng = np.random.default_rng(4)
+    pairs = [*map(tuple, rng.integers(-40, 40, (900, 2)).tolist()), *((10**15, i) for i in range(-40, 40)), (3, None), (None, None)]
+    edges = spark.createDataFrame([*pairs, *((b, a) for a, b in pairs[:50])], "src long, dst long").repartition(3)
+    near = {}
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want = sorted((a, b, c) for a in near for b in near[a] if a < b for c in near[a] & near[b] if b < c)
+    for held, paths in ((10**6, 1 << 20), (700, 101)):
+        monkeypatch.setattr(G, "HELD", held), monkeypatch.setattr(G, "PATHS", paths)
+        assert sorted(map(tuple, G.triangles(edges).collect())) == want
+    assert G.triangle_count(edges).first().n_triangles == len(want)
+    assert G.triangle_count(edges.where("false")).first().n_triangles == 0
+    plan = G.triangle_count(edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.common import stash
+
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 CYCLE = (5, 2, 1)
 SYMBOLS = "#*$%&|<>"
@@ -99,16 +101,36 @@ def mix_sources(
     plan = sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(order), F.lit(0)))
+    if keep_row:
+        return _mix_in_place(table, starts, plan, id_col)
     spans = starts.join(plan, starts.source.eqNullSafe(plan.source)).select(starts.source.alias("s"), F.col("bucket").alias("b"), "source_size", "target", "epochs", "rest", "before")
 
     placed = table.join(spans, table.source.eqNullSafe(spans.s) & (table.bucket == spans.b))
     inside = Window.partitionBy("s", "b").orderBy("key", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
-    columns = [F.col("k").alias(id_col), "size", "source", "source_size", "target", *(["row"] if keep_row else [])]
+    columns = [F.col("k").alias(id_col), "size", "source", "source_size", "target"]
     chosen = placed.drop("bucket").withColumn("copies", F.col("epochs") + ((middle <= F.col("rest")) & (F.col("size") > 0)).cast("long"))
     return chosen.select(*columns, (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def _mix_in_place(table: DataFrame, starts: DataFrame, plan: DataFrame, id_col: str) -> DataFrame:
+    """The same choice for rows that are not to be moved: whole ranges are taken or not, so only those of the one range of each
+    source in which its budget ends are sorted."""
+    end = F.col("before") + F.col("bucket_size")
+    inside, across = end <= F.col("rest"), (F.col("before") < F.col("rest")) & (end > F.col("rest"))
+    ends = starts.join(plan, starts.source.eqNullSafe(plan.source)).groupBy(starts.source.alias("s"), "source_size", "target", "epochs", "rest")
+    found = ends.agg(F.max(F.when(inside, F.col("bucket"))).alias("upto"), F.min(F.when(across, F.col("bucket"))).alias("border"), F.min(F.when(across, F.col("before"))).alias("before"))
+    # stored, so that its size is known: one row for each source
+    found = stash(found)
+    placed = table.join(found, table.source.eqNullSafe(found.s))
+    whole = placed.where("border IS NULL OR bucket != border").withColumn("more", F.coalesce(F.col("bucket") <= F.col("upto"), F.lit(False)))
+    order = Window.partitionBy("s").orderBy("key", "k", "size").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
+    cut = placed.where("bucket = border").withColumn("more", middle <= F.col("rest"))
+    chosen = whole.unionByName(cut).withColumn("copies", F.col("epochs") + (F.col("more") & (F.col("size") > 0)).cast("long"))
+    return chosen.select(F.col("k").alias(id_col), "size", "source", "source_size", "target", "row", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """The rows of a mix made with ``keep_row``, each as often as it was taken."""
     return mixed.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -315,5 +315,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at = docs.columns.index
     flat = renamed(docs).withColumn("own", F.xxhash64(F.col(f"x{at(text_col)}")))
     key = f"x{at(id_col)}"
-    stays = flat.join(keep, F.col(key).eqNullSafe(F.col("k_id")) & (F.col("own") == F.col("k_mark")), "left_semi")
-    return stays.dropDuplicates([key, "own"]).drop("own").toDF(*docs.columns)
+    # rows that repeat id and text are known without their texts, so only they are moved again to become one
+    repeated = marked.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark"))
+    keep = stash(keep.join(repeated, same, "left").select("k_id", "k_mark", F.col("n").isNotNull().alias("often")))
+    stays = lambda often: flat.join(keep.where(often), F.col(key).eqNullSafe(F.col("k_id")) & (F.col("own") == F.col("k_mark")), "left_semi")
+    return stays("NOT often").unionByName(stays("often").dropDuplicates([key, "own"])).drop("own").toDF(*docs.columns)

@@ -257,7 +257,7 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
             mixed = (own[:n] ^ own[:n] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
             marks = parities(own, np.zeros(1, np.int64), np.array([len(own)]), LIMITS)
-            sent = feature_rows(mixed, ANYWHERE, np.full(n, np.uint64(fingerprint(text, shingle))), np.full(n, len(own)), False, np.repeat(marks, n, axis=0))
+            sent = feature_rows(mixed, ANYWHERE, np.full(n, np.uint64(fingerprint(text, shingle))), np.full(n, len(own)), False, np.repeat(marks, n, axis=0), LIMITS)
             values.append(mixed)
             rows.append(sent)
             if len(values) > 512:
@@ -270,6 +270,9 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
+    def judge(contents):
+        return lambda i, j: np.array([alike(load(contents[x].as_buffer()), load(contents[y].as_buffer())) for x, y in zip(i.tolist(), j.tolist())], bool)
+
     def differ(n, m):
         return ((1 - similarity) / (1 + similarity) * (np.asarray(n) + m) + 1e-9).astype(np.int64)
 
@@ -287,7 +290,7 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
                 yield mark - (1 << 64) if mark >> 63 else mark, own.tobytes()
 
     load = lambda x: np.frombuffer(x, np.uint64)
-    return verified(found, needed, map_rows(texts, "key long, content binary", sets), load, lambda rows: [load(x) for x in rows], similarity, alike, differ, 1024)
+    return verified(found, needed, map_rows(texts, "key long, content binary", sets), lambda rows: [load(x) for x in rows], judge, similarity, differ, 1024)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3, similarity: float = 0.8) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import map_batches, map_rows, pick, renamed, stash
-from brindle.llm.lines import ANYWHERE, candidates, feature_rows, key_filter, needed_keys, parities, verified
+from brindle.llm.lines import ANYWHERE, CELL_BITS, candidates, cell_counts, feature_rows, key_filter, needed_keys, parities, verified
 from brindle.operators.components import connected_components
 
 SEED = 42
@@ -39,21 +39,32 @@ SEED = 42
 LIMITS = (64, 160)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bit i is set when it is set in over half of the XXH64 values of the text's word shingles."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 values of the text's word shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[size - 1 :].tolist())), np.uint64, len(words) - size + 1)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[size - 1 :].tolist())), np.uint64, len(words) - size + 1)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """Bit i is set when it is set in over half of the values."""
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Bit i is set when it is set in over half of the XXH64 values of the text's word shingles."""
+    return print_of(shingle_hashes(text, shingle))
+
+
 def _code_tables() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes of single bits of the Hamming code, and for each syndrome s the 15 pairs of bits whose syndromes add to s."""
     unit = np.arange(1, 32, dtype=np.uint32)
@@ -222,42 +233,50 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def shingle_values(text: str | None, shingle: int = 5) -> np.ndarray:
     """The distinct XXH64 values of the text's word shingles, in ascending order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    size = min(shingle, len(words))
-    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)} if words else ()
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: float, per_text: int = 64) -> DataFrame:
     """(a, b): fingerprints of texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Exact: two such sets lack less than a fifth (at 0.8) of each other's values, so of the values in ascending order each
+    Exact: two such sets lack less than a fifth (at 0.8) of each other's values, so of the values in one order for all each
     text sends one more than it can lack, and both send one that they share. Each sends a twentieth of its values on top, so
     alike texts meet in that many more, and texts that merely have a passage in common do not meet often enough to be compared.
-    Fingerprints are connected, not all pairs sent.
+    The order is from the rarest cell of values on, so what many texts have in common comes last: texts that share a common
+    passage and little else never meet. Counts decide the cost, never the result. Fingerprints are connected, not all pairs sent.
     """
     texts = pick(docs, text_col)
 
-    def more(n):
-        return np.minimum(np.asarray(n) // 20, np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64) - 1)
-
-    def sends(read):
+    def unseen(read):
+        """(hashes, distinct values) of texts whose values a task has not had lately."""
         seen: set[int] = set()
-        values: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
         for (text,) in read:
-            own = shingle_values(text, shingle)
-            if not len(own) or (mark := xxhash.xxh64_intdigest(own.tobytes())) in seen:
+            hashes = shingle_hashes(text, shingle)
+            if not len(hashes) or (mark := xxhash.xxh64_intdigest((own := np.unique(hashes)).tobytes())) in seen:
                 continue
             if len(seen) > 200_000:
                 seen.clear()
             seen.add(mark)
+            yield hashes, own
+
+    # in 64ths of powers of two
+    levels = np.round(64 * np.log2(1 + cell_counts(texts, lambda read: (own for _, own in unseen(read))))).astype(np.uint16)
+    level = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def more(n):
+        return np.minimum(np.asarray(n) // 20, np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64) - 1)
+
+    def sends(read):
+        values: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+        for hashes, own in unseen(read):
             n = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 + int(more(len(own)))
-            # the lowest values have equal first bits, so they are mixed for the lots
-            mixed = (own[:n] ^ own[:n] >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            first = own[np.argsort(level.value[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")[:n]]
+            # the first values have first bits of rare cells, so they are mixed for the lots
+            mixed = (first ^ first >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
             marks = parities(own, np.zeros(1, np.int64), np.array([len(own)]), LIMITS)
-            sent = feature_rows(mixed, ANYWHERE, np.full(n, np.uint64(fingerprint(text, shingle))), np.full(n, len(own)), False, np.repeat(marks, n, axis=0), LIMITS)
+            sent = feature_rows(mixed, ANYWHERE, np.full(n, np.uint64(print_of(hashes))), np.full(n, len(own)), False, np.repeat(marks, n, axis=0), LIMITS)
             values.append(mixed)
             rows.append(sent)
             if len(values) > 512:
@@ -285,9 +304,9 @@ def shingle_links(docs: DataFrame, text_col: str, shingle: int, similarity: floa
 
     def sets(read):
         for (text,) in read:
-            own = shingle_values(text, shingle)
-            if len(own) and wanted(np.full(1, mark := fingerprint(text, shingle), np.uint64))[0]:
-                yield mark - (1 << 64) if mark >> 63 else mark, own.tobytes()
+            hashes = shingle_hashes(text, shingle)
+            if len(hashes) and wanted(np.full(1, mark := print_of(hashes), np.uint64))[0]:
+                yield mark - (1 << 64) if mark >> 63 else mark, np.unique(hashes).tobytes()
 
     load = lambda x: np.frombuffer(x, np.uint64)
     return verified(found, needed, map_rows(texts, "key long, content binary", sets), lambda rows: [load(x) for x in rows], judge, similarity, differ, 1024)

@@ -61,3 +61,33 @@ def test_forests_of_groups_connect_what_all_pairs_do():
     from brindle.operators.components import smallest_reachable
 
     assert want and smallest_reachable(links) == smallest_reachable(want) and all(a // 1000 == b // 1000 for a, b in links)
+
+
+def test_texts_that_share_a_common_passage_do_not_meet(spark, monkeypatch):
+    """Long texts of their own with one passage in common are no candidates, so none of their contents move; near copies are."""
+    passage = " ".join(f"common{i}" for i in range(60))
+    texts = [" ".join(f"word{k}x{i}" for i in range(200)) + " " + passage for k in range(300)]
+    texts.append(texts[0] + " and more")
+    found = []
+    monkeypatch.setattr(simhash, "needed_keys", lambda rows: found.append(rows.select("a", "b", "dense").collect()) or LN.needed_keys(rows))
+    links = simhash.shingle_links(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text", 5, 0.8).collect()
+    pair = {x - (1 << 64) if x >> 63 else x for x in (simhash.fingerprint(t, 5) for t in (texts[0], texts[-1]))}
+    assert [set(r) for r in links] == [pair]
+    assert [({r.a, r.b}, r.dense) for r in found[0]] == [(pair, False)]
+
+
+def test_groups_of_many_bytes_are_compared_by_blocks(spark, monkeypatch):
+    """Blocks are bounded by bytes, too, and lose no link of a group of near copies."""
+    base = [f"word{i}" for i in range(300)]
+    texts = [" ".join([*base[:i], f"new{i}", f"other{i}", *base[i + 1 :]]) for i in range(0, 300, 10)]
+    stored = []
+    monkeypatch.setattr(LN, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(LN, "stash", lambda rows: stored.append(rows) or stash(rows))
+    links = simhash.shingle_links(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 5, 0.8, per_text=0).collect()
+    part = {x: x for x in {y for r in links for y in r}}
+    for a, b in links:
+        old = part[a]
+        part = {x: part[b] if r == old else r for x, r in part.items()}
+    assert len(part) == len({simhash.fingerprint(t, 5) for t in texts}) > 20 and len(set(part.values())) == 1
+    plan = stored[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "20000" in plan

@@ -7,10 +7,18 @@ equi-join of the token table, which Spark can split where a token is frequent.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import columns as C
+from brindle.storage import map_batches
 
 #: The English stop words of Spark's own remover.
 STOP_WORDS = """
@@ -112,6 +120,18 @@ def filter_candidates(pairs: DataFrame, attributes: DataFrame, predicates: bool
     return joined.select("id1", "id2", "subject1", "subject2", F.col("subj_name1").alias("name1"), F.col("subj_name2").alias("name2"), "grams1", "grams2")
 
 
+TRAITS = ["subject", "rel_name", "subj_name", "category", "subcategory"]
+
+
+def _alike(members: DataFrame, attributes: DataFrame, chunk: int) -> DataFrame:
+    """(block, kg, TRAITS, part, ids): members of a block that differ in their ids alone as one, about ``chunk`` of them at most."""
+    keys = ["block", "kg", *TRAITS]
+    rows = members.distinct().join(attributes.select("id", *TRAITS), "id").withColumn("mark", F.xxhash64(*keys))
+    large = rows.groupBy("mark").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
+    return rows.join(large, "mark", "left").groupBy(*keys, part.alias("part")).agg(F.collect_list("id").alias("ids"))
+
+
 def block_pairs(members: DataFrame, attributes: DataFrame, predicates: bool = True, categories: bool = True, chunk: int = 1024, deal: int = 16) -> DataFrame:
     """Pairs of members (block, id, kg) of a block, one of each graph, filtered like ``filter_candidates``: in the columns ids1,
     ids2, subject1, subject2, name1, name2, grams1, grams2. Each id of ids1 with each of ids2 is a pair (once for each block
@@ -120,20 +140,15 @@ def block_pairs(members: DataFrame, attributes: DataFrame, predicates: bool = Tr
     Members that differ in their ids alone are paired as one, about ``chunk`` of them at most. Those of graph 1 are dealt to
     ``deal`` tasks a block, and those of graph 2 are sent to each of these, so that few blocks keep many tasks busy.
     """
-    traits = ["subject", "rel_name", "subj_name", "category", "subcategory"]
-    keys = ["block", "kg", *traits]
-    rows = members.distinct().join(attributes.select("id", *traits), "id").withColumn("mark", F.xxhash64(*keys))
-    large = rows.groupBy("mark").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
-    alike = rows.join(large, "mark", "left").groupBy(*keys, part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    alike = _alike(members, attributes, chunk)
     n_parts = max(64, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def side(n: int, task) -> DataFrame:
-        dealt = alike.where(F.col("kg") == n).select("block", task.alias("task"), F.col("ids").alias(f"ids{n}"), *(F.col(c).alias(f"{c}{n}") for c in traits))
+        dealt = alike.where(F.col("kg") == n).select("block", task.alias("task"), F.col("ids").alias(f"ids{n}"), *(F.col(c).alias(f"{c}{n}") for c in TRAITS))
         # bigrams are made behind the exchange, so they are not moved
         return dealt.repartition(n_parts, "block", "task").withColumn(f"grams{n}", C.numbered(C.bigrams(F.col(f"subj_name{n}"))))
 
-    own, each = F.pmod(F.xxhash64(*keys, "part"), F.lit(deal)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long")))
+    own, each = F.pmod(F.xxhash64("block", "kg", *TRAITS, "part"), F.lit(deal)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long")))
     joined = side(1, own).join(side(2, each).hint("shuffle_hash"), ["block", "task"])
     if predicates:
         joined = joined.where("rel_name1 = rel_name2")
@@ -153,6 +168,141 @@ def similarities(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("sim", C.set_similarity(F.col("grams1"), F.col("grams2")))
 
 
+#: Names are compared so many of graph 1 with so many of graph 2 at a time, by so many of their bigrams at a time.
+FIRST, SECOND, GRAMS = 1024, 2048, 2048
+#: Rows of a batch of pairs.
+OUT = 1 << 18
+
+
+class Names:
+    """Some names by the numbers of their numbered bigrams in ``known``; with ``learn``, new ones get a number, else they only count in ``sizes``."""
+
+    def __init__(self, names: list[str | None], known: dict[tuple[str | None, int], int], learn: bool):
+        rows, grams, self.sizes = [], [], np.zeros(len(names), np.int64)
+        for row, name in enumerate(names):
+            # a null name has a null for its one bigram, as ``bigrams`` has it
+            own = [None] if name is None else [name[i : i + 2] for i in range(max(len(name) - 1, min(len(name), 1)))]
+            self.sizes[row] = len(own)
+            seen: dict[str | None, int] = {}
+            for gram in own:
+                seen[gram] = often = seen.get(gram, 0) + 1
+                at = known.setdefault((gram, often), len(known)) if learn else known.get((gram, often))
+                if at is not None:
+                    rows.append(row)
+                    grams.append(at)
+        self.rows, self.grams = np.array(rows, np.int64), np.array(grams, np.int64)
+
+    def matrix(self, low: int, high: int, first: int, end: int) -> np.ndarray:
+        """Which of the bigrams from first to end the names from low to high have, as ones."""
+        out = np.zeros((high - low, end - first), np.float32)
+        s, e = np.searchsorted(self.rows, [low, high])
+        fit = (self.grams[s:e] >= first) & (self.grams[s:e] < end)
+        out[self.rows[s:e][fit] - low, self.grams[s:e][fit] - first] = 1
+        return out
+
+
+def _quotient(shared: int, total: int, digits: int | None) -> float:
+    """The similarity, rounded like Spark's ``round``; not a number where both names are empty."""
+    if not total:
+        return math.nan
+    value = shared / total
+    return value if digits is None else float(Decimal(repr(value)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+@lru_cache(64)
+def _quotients(shared: int, total: int, digits: int | None) -> np.ndarray:
+    """Similarities of up to so many shared bigrams of up to so many, at shared * (most of all + 1) + all."""
+    return np.array([_quotient(x, y, digits) for x in range(shared + 1) for y in range(total + 1)])
+
+
+def name_similarities(one: Names, at: int, upto: int, two: Names, begin: int, end: int, known: int, digits: int | None) -> np.ndarray:
+    """Similarities of names at to upto with names begin to end; not a number where neither has a character. Bigrams in
+    common are the product of two matrices of zeros and ones, so all are counted exactly."""
+    shared = np.zeros((upto - at, end - begin), np.float32)
+    for low in range(0, known, GRAMS):
+        high = min(known, low + GRAMS)
+        shared += one.matrix(at, upto, low, high) @ two.matrix(begin, end, low, high).T
+    a, b = one.sizes[at:upto], two.sizes[begin:end]
+    most, total = int(min(a.max(), b.max())), int(a.max() + b.max())
+    key = shared.astype(np.int64 if most * total > 1 << 30 else np.int32) * (total + 1)
+    key += a.astype(key.dtype)[:, None]
+    key += b.astype(key.dtype)[None, :]
+    if (most + 1) * (total + 1) <= 1 << 16:
+        out = _quotients(most, total, digits)[key]
+    else:
+        found, where = np.unique(key, return_inverse=True)
+        out = np.array([_quotient(*divmod(k, total + 1), digits) for k in found.tolist()])[where].reshape(key.shape)
+    return out
+
+
+def scored_pairs(members: DataFrame, attributes: DataFrame, predicates: bool = True, categories: bool = True, above: float | None = None, digits: int | None = None, chunk: int = 1024, deal: int = 16, held: int = 65_536) -> DataFrame:
+    """The pairs of ``block_pairs`` with their similarities: (id1, id2, sim), rounded to ``digits``; with ``above``, instead (entity1,
+    entity2) of those with a greater similarity, repeated where they meet more than once.
+
+    Members of graph 1 are dealt to ``deal`` tasks a block, those of graph 2 are sent to each of these, at most about ``held`` at once.
+    """
+    n_parts = max(64, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # pairs have these alike, and no nulls there
+    same = ["block", *["rel_name"] * predicates, *["category", "subcategory"] * categories]
+    alike = _alike(members, attributes, chunk).dropna(subset=same).withColumn("group", F.to_json(F.struct(*same)))
+    many = alike.where("kg = 2").groupBy("group").agg(F.ceil(F.count(F.lit(1)) / held).cast("int").alias("shares"))
+    rows = alike.join(many, "group").withColumn("own", F.xxhash64("ids", "subject"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["group", "task", "share", "kg", "ids", "subject", "subj_name"]
+    one = rows.where("kg = 1").withColumn("task", F.pmod("own", F.lit(deal)).cast("int")).withColumn("share", each(F.col("shares")))
+    two = rows.where("kg = 2").withColumn("share", F.pmod("own", "shares").cast("int")).withColumn("task", each(F.lit(deal)))
+    dealt = one.select(columns).unionByName(two.select(columns)).repartition(n_parts, "group", "task", "share").sortWithinPartitions("group", "task", "share", F.desc("kg"))
+    kind = members.schema["id"].dataType.simpleString()
+
+    def results(one: pa.RecordBatch, two: pa.RecordBatch, known: dict, names: Names) -> Iterator[pa.RecordBatch]:
+        """Of some rows of graph 1 with the held ones of graph 2."""
+        own = Names(one.column("subj_name").to_pylist(), known, False)
+        for at in range(0, one.num_rows, FIRST):
+            upto = min(one.num_rows, at + FIRST)
+            for begin in range(0, two.num_rows, SECOND):
+                end = min(two.num_rows, begin + SECOND)
+                sim = name_similarities(own, at, upto, names, begin, end, len(known), digits)
+                if above is not None:
+                    i, j = np.nonzero(sim > above)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([one.column("subject").take(pa.array(i + at)), two.column("subject").take(pa.array(j + begin))], ["entity1", "entity2"])
+                    continue
+                (ids1, r1), (ids2, r2) = _each_id(one.column("ids").slice(at, upto - at)), _each_id(two.column("ids").slice(begin, end - begin))
+                nulls = bool(np.isnan(sim).any())
+                wide = sim if len(r2) == end - begin else sim[:, r2]
+                step = max(1, OUT // len(r2))
+                for k in range(0, len(r1), step):
+                    some = r1[k : k + step]
+                    value = wide[some].reshape(-1)
+                    first = ids1.take(pa.array(np.repeat(np.arange(k, k + len(some)), len(r2))))
+                    second = ids2.take(pa.array(np.tile(np.arange(len(r2)), len(some))))
+                    yield pa.RecordBatch.from_arrays([first, second, pa.array(value, mask=np.isnan(value) if nulls else None)], ["id1", "id2", "sim"])
+
+    def compare(batches):
+        cell, parts, ready = None, [], None
+        for batch in batches:
+            marks = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            starts = [i for i, x in enumerate(marks) if not i or x != marks[i - 1]]
+            for s, e in zip(starts, [*starts[1:], len(marks)]):
+                if marks[s][:3] != cell:
+                    cell, parts, ready = marks[s][:3], [], None
+                if marks[s][3] == 2:
+                    parts.append(batch.slice(s, e - s))
+                elif parts:
+                    if ready is None:
+                        two = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                        ready = (two, known := {}, Names(two.column("subj_name").to_pylist(), known, True))
+                    yield from results(batch.slice(s, e - s), *ready)
+
+    return map_batches(dealt, compare, "entity1 string, entity2 string" if above is not None else f"id1 {kind}, id2 {kind}, sim double")
+
+
+def _each_id(ids: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The ids of some rows one after the other, and the row of each."""
+    sizes = ids.value_lengths().to_numpy()
+    return ids.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def match(pairs: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Distinct (entity1, entity2) above the threshold."""
     return similarities(pairs).where(F.col("sim") > threshold).select(F.col("subject1").alias("entity1"), F.col("subject2").alias("entity2")).distinct()

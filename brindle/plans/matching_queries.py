@@ -58,17 +58,18 @@ def entity_attributes(spark, d):
     return M.entity_attributes(e, e.select("id"))
 
 
-def _pairs(spark, d):
-    """Customers and suppliers that share a nation, those that differ in their ids alone as one."""
-    return M.block_pairs(_entities(spark, d).select(F.col("object").alias("block"), "id", "kg"), entity_attributes(spark, d))
+def _members(spark, d):
+    """Customers and suppliers, with their nation as the block."""
+    return _entities(spark, d).select(F.col("object").alias("block"), "id", "kg")
 
 
 def filter_candidates(spark, d):
-    return M.each_id(_pairs(spark, d).select("ids1", "ids2", "name1", "name2"))
+    """Customers and suppliers that share a nation, those that differ in their ids alone paired as one."""
+    return M.each_id(M.block_pairs(_members(spark, d), entity_attributes(spark, d)).select("ids1", "ids2", "name1", "name2"))
 
 
 def uri_similarity(spark, d):
-    return M.each_id(M.similarities(_pairs(spark, d)).select("ids1", "ids2", F.round("sim", 6).alias("sim")))
+    return M.scored_pairs(_members(spark, d), entity_attributes(spark, d), digits=6)
 
 
 def _truth(spark, d):
@@ -88,7 +89,7 @@ def true_alignment(spark, d):
 
 
 def match_entities(spark, d):
-    return M.match(_pairs(spark, d), 0.36)
+    return M.scored_pairs(_members(spark, d), entity_attributes(spark, d), above=0.36).distinct()
 
 
 def evaluate_matches(spark, d):

@@ -210,6 +210,40 @@ def test_block_pairs_are_the_filtered_candidates(spark, chunk, deal):
         assert len(blocks.collect()) < len(found)
 
 
+@pytest.mark.parametrize("grams, deal, held", [(2048, 16, 65_536), (3, 2, 2)])
+def test_scored_pairs_are_the_similarities_of_block_pairs(spark, monkeypatch, grams, deal, held):
+    """Every pair once with its similarity: names of their own, repeated, without characters and beyond ASCII, ids alike but for their
+    names, blocks of one graph; and no set of bigrams is intersected pair by pair."""
+    monkeypatch.setattr(matching, "GRAMS", grams)
+    monkeypatch.setattr(matching, "FIRST", grams)
+    monkeypatch.setattr(matching, "OUT", 8)
+    names = ["", "a", "aaaaa", "aa", "Customer#000000017", "Customer#000001717", "Süd😀😀x", "😀😀", "banana", "x" * 40]
+    wiki = "http://one.example.org/data/wiki/"
+    rows = [(i, f"{wiki}{'ABC'[i % 3]}/{names[i % 10]}{i % 7 or ''}", "p/x" if i % 5 else "p/y", "ABC"[i % 3], 1) for i in range(60)] + [(-1 - i, f"{wiki}{'AB'[i % 2]}/{names[-i % 10]}", "p/x", "AB"[i % 2], 2) for i in range(30)]
+    rows += [(100, f"{wiki[:-1]}", "p/x", "A", 1), (101, f"{wiki}", "p/x", "A", 1), (-101, f"{wiki}", "p/x", "A", 2)]
+    e = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, kg int")
+    attributes, members = matching.entity_attributes(e, e.select("id")), e.select(F.col("object").alias("block"), "id", "kg")
+    for options in ({}, {"predicates": False}, {"categories": False}):
+        blocks = matching.similarities(matching.block_pairs(members, attributes, **options))
+        rounded = matching.scored_pairs(members, attributes, **options, digits=6, chunk=4, deal=deal, held=held)
+        want = matching.each_id(blocks.select("ids1", "ids2", F.round("sim", 6).alias("sim"))).collect()
+        assert sorted(map(repr, map(tuple, rounded.collect()))) == sorted(map(repr, map(tuple, want))) and len(want) > 300
+        assert rounded.dtypes == [("id1", "bigint"), ("id2", "bigint"), ("sim", "double")]
+        above = matching.scored_pairs(members, attributes, **options, above=0.25, chunk=4, deal=deal, held=held).distinct()
+        some = blocks.where("sim > 0.25").select("subject1", "subject2").distinct().collect()
+        assert sorted(map(tuple, above.collect())) == sorted(map(tuple, some)) and some
+    assert any(r.sim is None for r in want)
+    assert "array_intersect" not in rounded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_of_similar_names_do_not_intersect_pair_by_pair(spark):
+    from brindle.plans import registry
+
+    for name in ("uri_similarity", "match_entities", "evaluate_matches", "false_negatives"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_intersect" not in plan and "MapInArrow" in plan
+
+
 def test_group_similarity_counts_where_vertices_meet(spark):
     """The same values as from the pairs, pairs without a shared neighbour and repeated edges included."""
     rng = random.Random(5)
